@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veracet.llm import exact_dedup, link_trust, mixing, packing, substring_dedup, templates
 from veracet.llm.store import new_path
 from veracet.llm.token_archive import read_archive, write_archive
 
@@ -26,8 +27,35 @@ def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, path)
 
 
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judged(_pages(spark, sf_dir))
+
+
+def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(_pages(spark, sf_dir))
+
+
+def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(_documents(spark, sf_dir), with_text=False)
+
+
+def op6_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_documents(spark, sf_dir), "word_bpe_49k.json", end_id=1)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_fingerprint_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_documents(spark, sf_dir))
+
+
+_ALL = (op1_token_archive, op2_link_trust, op4_site_templates, op5_super_kmers, op6_linear_grouping, op8_source_mixing, op10_fingerprint_exchange)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_archive,)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
