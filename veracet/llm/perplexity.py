@@ -32,7 +32,7 @@ ORDER = 4
 SYMBOL_BITS = 5
 SYMBOLS = 1 << SYMBOL_BITS
 BINS = 100
-SPAN = 6.0
+SPAN = 10.0
 LEAST_SPREAD = 0.05
 MIN_WORDS = 50
 #: Languages whose counts a task holds before it sends them on.
