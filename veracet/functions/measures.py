@@ -101,7 +101,7 @@ def normalised(raw: Name, parser: Column, to_unit: Column, mapped: Column) -> Co
         return F.struct(value.cast("string").alias("value"), F.lit(kind).alias("value_type"), F.lit(CONFIDENCE[confidence]).alias("confidence"), F.lit(notes).alias("notes"))
 
     def shown(value: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.format_number(value, "0.####"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.regexp_replace(F.regexp_replace(value.cast("decimal(28,4)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
     bad = out(x, "string", "malformed", "not a measure")
     return (

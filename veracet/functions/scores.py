@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half away from zero on the decimal value: what binary fractions add beyond ten places doesn't count."""
+    return F.round(x.cast("decimal(28,10)"), places).cast("double")
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
@@ -26,7 +31,7 @@ def ratio(n: Column, d: Column) -> Column:
 
 
 def percent(n: Column, d: Column, places: int = 2) -> Column:
-    return F.when(d > 0, F.round(n / d * 100, places)).otherwise(0.0)
+    return F.when(d > 0, rounded(n / d * 100, places)).otherwise(0.0)
 
 
 def to_percent(x: Column) -> Column:
@@ -35,7 +40,7 @@ def to_percent(x: Column) -> Column:
 
 
 def age_days(then: Column, now: Column) -> Column:
-    return (now.cast("double") - then.cast("double")) / 86400
+    return (now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double")) / 86400
 
 
 def recency_factor(observed: Column, reference: Column) -> Column:
@@ -76,16 +81,16 @@ def candidate_confidence(confidence: Column, source: Column, brand: Column) -> C
     """A claim's confidence, raised if its source is the brand itself or a manufacturer."""
     s, b = F.lower(source), F.lower(F.trim(brand))
     bonus = F.when((b != "") & F.contains(s, b), 0.12).when(s.contains("manufacturer"), 0.10).otherwise(0.0)
-    return clamp(F.round(confidence + bonus, 4), 0.05, 0.99)
+    return clamp(rounded(confidence + bonus, 4), 0.05, 0.99)
 
 
 def merged_confidence(base: Column, evidence: Column, agrees: Column) -> Column:
     value = base + F.when(agrees, 0.05).otherwise(-0.20) + F.least(F.lit(0.14), F.greatest(evidence - 1, F.lit(0)) * 0.07)
-    return clamp(F.round(value, 4), 0.05, 0.99)
+    return clamp(rounded(value, 4), 0.05, 0.99)
 
 
 def source_quality(confidence: Column, completeness: Column) -> Column:
-    return clamp(F.round(0.70 * F.coalesce(confidence, F.lit(0.70)) + 0.30 * completeness, 4), 0.05, 1.0)
+    return clamp(rounded(0.70 * F.coalesce(confidence, F.lit(0.70)) + 0.30 * completeness, 4), 0.05, 1.0)
 
 
 _AGREES = {"low": 0.97, "medium": 0.95, "high": 0.92, "critical": 0.90}
@@ -103,11 +108,11 @@ def by_sensitivity(sensitivity: Column, conflict: Column) -> Column:
 def attribute_reliability(confidence: Column, evidence_confidence: Column, evidence: Column, sensitivity: Column, conflict: Column) -> Column:
     """By evidence so far; with none (evidence_confidence null) the claim's confidence."""
     value = 0.55 * evidence_confidence + 0.25 * confidence + 0.15 * by_sensitivity(sensitivity, conflict) + 0.05 * F.when(evidence >= 2, 1.0).otherwise(0.9)
-    return clamp(F.round(F.coalesce(value, confidence), 4), 0.05, 1.0)
+    return clamp(rounded(F.coalesce(value, confidence), 4), 0.05, 1.0)
 
 
 def merge_weight(trust: Column, quality: Column, reliability: Column, stability: Column, disagreement: Column, recency: Column) -> Column:
-    return clamp(F.round(F.coalesce(trust, F.lit(0.72)) * quality * reliability * F.coalesce(stability, F.lit(0.90)) * F.coalesce(disagreement, F.lit(1.0)) * recency, 4), 0.05, 1.0)
+    return clamp(rounded(F.coalesce(trust, F.lit(0.72)) * quality * reliability * F.coalesce(stability, F.lit(0.90)) * F.coalesce(disagreement, F.lit(1.0)) * recency, 4), 0.05, 1.0)
 
 
 def trust(coverage: Column, conflict: Column, agreement: Column, breadth: Column, promotion: Column, success: Column, extractable: Column, no_product: Column, yielded: Column,
@@ -116,40 +121,40 @@ def trust(coverage: Column, conflict: Column, agreement: Column, breadth: Column
         0.20 * coverage + 0.15 * (1 - conflict) + 0.20 * agreement + 0.10 * breadth + 0.05 * promotion + 0.15 * success + 0.15 * extractable + 0.05 * (1 - no_product)
         + 0.05 * yielded + 0.05 * (1 - price_volatility) + 0.05 * spec_stability - penalty
     )
-    return clamp(F.round(value, 4), 0.0, 1.0)
+    return clamp(rounded(value, 4), 0.0, 1.0)
 
 
 def breadth(listings: Column, products: Column) -> Column:
-    return clamp(F.round(0.40 * F.least(F.lit(1.0), listings / 10) + 0.60 * F.least(F.lit(1.0), products / 20), 4), 0.0, 1.0)
+    return clamp(rounded(0.40 * F.least(F.lit(1.0), listings / 10) + 0.60 * F.least(F.lit(1.0), products / 20), 4), 0.0, 1.0)
 
 
 def price_volatility(changes: Column, values: Column) -> Column:
-    return F.when(changes == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), changes / 12 * 0.7 + values / 6 * 0.3), 4))
+    return F.when(changes == 0, 0.0).otherwise(rounded(F.least(F.lit(1.0), changes / 12 * 0.7 + values / 6 * 0.3), 4))
 
 
 def spec_stability(changes: Column) -> Column:
-    return F.round(1 - F.least(F.lit(1.0), F.least(changes, F.lit(40)) / 20), 4)
+    return rounded(1 - F.least(F.lit(1.0), F.least(changes, F.lit(40)) / 20), 4)
 
 
 def disagreement_penalty(disagreement: Column, wins: Column) -> Column:
-    return clamp(F.round(0.12 * disagreement - 0.04 * wins, 4), 0.0, 1.0)
+    return clamp(rounded(0.12 * disagreement - 0.04 * wins, 4), 0.0, 1.0)
 
 
 def stability(changes: Column, oscillations: Column, values: Column, suspicious: Column) -> Column:
-    value = F.greatest(F.lit(0.05), F.round(1 - F.least(F.lit(1.0), changes / 20 * 0.55 + oscillations / 6 * 0.30 + values / 8 * 0.15), 4))
+    value = F.greatest(F.lit(0.05), rounded(1 - F.least(F.lit(1.0), changes / 20 * 0.55 + oscillations / 6 * 0.30 + values / 8 * 0.15), 4))
     return F.when(suspicious, F.least(F.lit(0.40), value)).otherwise(value)
 
 
 def disagreement_adjustment(disagreement: Column, wins: Column) -> Column:
-    return clamp(F.round(1 - 0.5 * disagreement + 0.25 * wins, 4), 0.45, 1.20)
+    return clamp(rounded(1 - 0.5 * disagreement + 0.25 * wins, 4), 0.45, 1.20)
 
 
 def adaptive_staleness(stale: Column, stable: Column, missing: Column) -> Column:
-    return clamp(F.round(stale * F.when((stable >= 0.90) & (missing == 0), 0.55).otherwise(1.0), 4), 0.0, 1.0)
+    return clamp(rounded(stale * F.when((stable >= 0.90) & (missing == 0), 0.55).otherwise(1.0), 4), 0.0, 1.0)
 
 
 def crawl_priority(quality: Column, change: Column, missing: Column, stale: Column) -> Column:
-    return F.round(quality * 30 + change * 30 + missing * 25 + stale * 15, 2)
+    return rounded(quality * 30 + change * 30 + missing * 25 + stale * 15, 2)
 
 
 def priority_reasons(quality: Column, change: Column, missing: Column, stale: Column) -> Column:
@@ -169,12 +174,12 @@ def next_interval(importance: Column, failures: Column, trust_score: Column, pag
     least, most = crawl_intervals(page, change, price, spec)
     volatile = clamp((page + change + price) / 3, 0.0, 1.0)
     factor = ladder(F.coalesce(trust_score, F.lit(0.60)), [(0.85, 0.75), (0.70, 0.90), (0.50, 1.10)], 1.40) * ladder(volatile, [(0.80, 0.25), (0.60, 0.45), (0.40, 0.75)], 1.30)
-    factor = factor * F.pow(F.round(1.8 + failure_rate * 1.2, 2), F.greatest(failures, F.lit(0))) * (1.15 - clamp(importance, 0.0, 1.0) * 0.55)
-    return F.least(F.greatest(F.round((least + most) / 2, 0) * factor, least.cast("double")), most.cast("double"))
+    factor = factor * F.pow(rounded(1.8 + failure_rate * 1.2, 2), F.greatest(failures, F.lit(0))) * (1.15 - clamp(importance, 0.0, 1.0) * 0.55)
+    return F.least(F.greatest(rounded((least + most) / 2, 0) * factor, least.cast("double")), most.cast("double"))
 
 
 def page_volatility(change: Column, price: Column, spec: Column) -> Column:
-    return clamp(F.round(0.40 * change + 0.35 * price + 0.25 * (1 - spec), 4), 0.0, 1.0)
+    return clamp(rounded(0.40 * change + 0.35 * price + 0.25 * (1 - spec), 4), 0.0, 1.0)
 
 
 def duplicate_risk(duplicates: Column) -> Column:
@@ -183,13 +188,13 @@ def duplicate_risk(duplicates: Column) -> Column:
 
 def heuristic_score(crawlable: Column, relevant: Column, extractable: Column, catalog: Column, risk: Column, compatible: Column, reachable: Column, market: Column, allowed: Column) -> Column:
     score = crawlable * 0.30 + relevant * 0.25 + extractable * 0.35 + catalog * 0.10 - risk * 0.35 + F.when(compatible, 10).when(reachable, -25).otherwise(0) + market
-    return clamp(F.round(F.when(allowed, score).otherwise(F.least(score, F.lit(10.0))), 2), 0.0, 100.0)
+    return clamp(rounded(F.when(allowed, score).otherwise(F.least(score, F.lit(10.0))), 2), 0.0, 100.0)
 
 
 def blended_confidence(heuristic: Column, judged: Column, disagrees: Column) -> Column:
     """judged: the classifier's score, null without one."""
     score = F.when(judged.isNull(), heuristic).otherwise(heuristic * 0.6 + judged * 0.4)
-    return clamp(F.round(F.when(disagrees, F.least(score, F.lit(69.99))).otherwise(score), 2), 0.0, 100.0)
+    return clamp(rounded(F.when(disagrees, F.least(score, F.lit(69.99))).otherwise(score), 2), 0.0, 100.0)
 
 
 def market_alignment(market_matches: Column, locale_matches: Column) -> Column:
@@ -219,11 +224,11 @@ def recommendation(crawlable: Column, relevant: Column, extractable: Column, cat
 
 def source_value(quality: Column, trusted: Column, coverage: Column, extractable: Column, support: Column) -> Column:
     """All percents."""
-    return clamp(F.round(0.40 * quality + 0.20 * trusted + 0.15 * coverage + 0.15 * extractable + 0.10 * support, 1), 0.0, 100.0)
+    return clamp(rounded(0.40 * quality + 0.20 * trusted + 0.15 * coverage + 0.15 * extractable + 0.10 * support, 1), 0.0, 100.0)
 
 
 def source_risk(trusted: Column, change: Column, disagreement: Column, coverage: Column, extractable: Column, no_product: Column) -> Column:
-    return clamp(F.round((100 - trusted) * 0.25 + change * 0.20 + disagreement * 0.20 + (100 - coverage) * 0.10 + (100 - extractable) * 0.15 + no_product * 0.10, 1), 0.0, 100.0)
+    return clamp(rounded((100 - trusted) * 0.25 + change * 0.20 + disagreement * 0.20 + (100 - coverage) * 0.10 + (100 - extractable) * 0.15 + no_product * 0.10, 1), 0.0, 100.0)
 
 
 def readiness(assigned: Column, enabled: Column, healthy: Column) -> Column:
