@@ -32,6 +32,8 @@ from veracet.llm.words import as_binary
 
 #: Bits beyond log2 of the rows: a row is a false suspect with a chance of about 2**-EXTRA_BITS.
 EXTRA_BITS = 16
+#: Names of our own beside the columns of documents, which may have any.
+_ID, _SHA, _OWN = "__veracet_id", "__veracet_sha", "__veracet_own"
 _SPACES = b" \t\n\x0b\x0c\r"
 _ROWS = "kind string, part int, seq long, owner int, rank long, twice boolean, doc_id long, sha binary, n long, k int, payload binary"
 
@@ -192,15 +194,15 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows of documents that stay, with all their columns."""
     groups = written(exact_groups(documents), "exact-groups")
     by_id = groups.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped")).filter("dropped > 0")
-    by_id = written(by_id.select(F.col("doc_id").alias("_id"), "kept"), "dropped")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    whole = join_small(documents, by_id.select("_id"), same, "left_anti")
+    by_id = written(by_id.select(F.col("doc_id").alias(_ID), "kept"), "dropped")
+    same = F.col("doc_id").eqNullSafe(F.col(_ID))
+    whole = join_small(documents, by_id.select(_ID), same, "left_anti")
     # a doc_id of which some rows stay and others go (repeated rows): one row for each kept text
-    mixed = by_id.filter("kept > 0").select("_id")
+    mixed = by_id.filter("kept > 0").select(_ID)
     if mixed.isEmpty():
         return whole
-    stay = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    some = join_small(documents, mixed, same, "left_semi").withColumn("_sha256", F.sha2(_normal(), 256))
-    some = some.dropDuplicates(["doc_id", "_sha256"])
-    some = some.join(stay, same & (F.col("_sha256") == F.col("_sha")), "left_semi").drop("_sha256")
+    stay = groups.filter("kept").select(F.col("doc_id").alias(_ID), F.col("text_sha256").alias(_SHA)).distinct()
+    some = join_small(documents, mixed, same, "left_semi").withColumn(_OWN, F.sha2(_normal(), 256))
+    some = some.dropDuplicates(["doc_id", _OWN])
+    some = some.join(stay, same & (F.col(_OWN) == F.col(_SHA)), "left_semi").drop(_OWN)
     return whole.unionByName(some)

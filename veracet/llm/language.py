@@ -54,7 +54,10 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = max(0, len(data) - 2)
     cell = (data[:n] * 961 + data[1 : n + 1] * 31 + data[2 : n + 2]) * 40503 % CELLS
     cell[~(letter[:n] | letter[1 : n + 1] | letter[2 : n + 2])] = -1
-    return np.concatenate((cell, np.full(len(data) - n, -1, cell.dtype))), offsets
+    cell = np.concatenate((cell, np.full(len(data) - n, -1, cell.dtype)))
+    for back in (1, 2):  # none runs into the next row
+        cell[np.maximum(offsets[1:] - back, offsets[:-1])] = -1
+    return cell, offsets
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +189,6 @@ def identify_documents(documents: DataFrame, **options) -> DataFrame:
 
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The documents that language identification doesn't reject."""
-    out = written(identify_documents(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct(), "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    out = written(identify_documents(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("__veracet_id"), F.col("text_hash").alias("__veracet_h")).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("__veracet_id")) & (F.xxhash64("text") == F.col("__veracet_h"))
     return join_small(documents, out, same, "left_anti", BROADCAST_ROWS)

@@ -154,17 +154,17 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     Repeated doc_ids are laid out once each by (doc_id, text).
     """
     columns = documents.columns
-    report = mix_report(documents, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "pieces")
-    report = report.dropDuplicates(["_id", "_source", "_size"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count() == F.col("_size"))
+    report = mix_report(documents, **options).filter("taken > 0").select(F.col("doc_id").alias("__veracet_id"), F.col("source").alias("__veracet_source"), F.col("size").alias("__veracet_size"), F.col("pieces").alias("__veracet_pieces"))
+    report = report.dropDuplicates(["__veracet_id", "__veracet_source", "__veracet_size"])
+    same = F.col("doc_id").eqNullSafe(F.col("__veracet_id")) & F.col("source").eqNullSafe(F.col("__veracet_source")) & (word_count() == F.col("__veracet_size"))
     both = documents.join(report, same)
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("pieces", lambda p: p["times"]))))
-    both = both.withColumn("_copy", copy)
-    both = both.withColumn("_mine", F.filter("pieces", lambda p: p["times"] >= F.col("_copy")))
-    words = F.aggregate("_mine", F.lit(0).cast("long"), lambda a, p: a + p["n"])
-    both = both.withColumn("_words", F.when(words < F.col("_size"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    cut = F.array_join(F.flatten(F.transform("_mine", lambda p: F.slice("_words", (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    both = both.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(cut))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("__veracet_pieces", lambda p: p["times"]))))
+    both = both.withColumn("__veracet_copy", copy)
+    both = both.withColumn("__veracet_mine", F.filter("__veracet_pieces", lambda p: p["times"] >= F.col("__veracet_copy")))
+    words = F.aggregate("__veracet_mine", F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    both = both.withColumn("__veracet_words", F.when(words < F.col("__veracet_size"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    cut = F.array_join(F.flatten(F.transform("__veracet_mine", lambda p: F.slice("__veracet_words", (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    both = both.withColumn("text", F.when(F.col("__veracet_words").isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in columns:
         both = both.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return both.select(*columns)

@@ -161,7 +161,7 @@ class Model:
 
     def probability(self, code: np.ndarray, order: int | None = None) -> np.ndarray:
         """Of the last symbol of each n-gram after the others; shorter contexts stand in for unseen ones."""
-        order = order or len(self.orders)
+        order = len(self.orders) if order is None else order
         if order == 0:
             return np.full(len(code), 1.0 / SYMBOLS)
         c, p, context, gamma = self.orders[order - 1]
