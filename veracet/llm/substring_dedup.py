@@ -29,7 +29,7 @@ from veracet.llm.store import join_small, written
 from veracet.llm.words import Words, as_binary, binaries, row_of, slices, split_words, spread
 
 WINDOW = 35
-MINIMISER = 8
+MINIMISER = 5
 BUCKET_ROWS = 50_000
 _PACKED = "key long, packed binary, inner boolean, a long, b long, first int"
 _FOUND = "a long, b long, first int, n int, window binary"
