@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veracet.plans import aggregations, composites, joins, relational, scalars, scoring, streams  # noqa: F401  they register
+from veracet.plans import aggregations, composites, details, joins, relational, scalars, scoring, streams  # noqa: F401  they register
 from veracet.plans.catalog import QUERIES, SQL, Query
 
 
