@@ -5,12 +5,19 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows (of a few dozen bytes each) is broadcast; a larger one is shuffled.
+#: A side with at most this many rows, and this many bytes by the planner's estimate (of a written table: its
+#: files), is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+
+#: Rows of an Arrow batch in the steps that are written to the shared folder.
+ARROW_ROWS = 1000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -50,24 +57,42 @@ def _drop_all() -> None:
             return
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """What runs inside sends Python at most ``rows`` rows at a time: texts and packed arrays are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins with right broadcast if it has at most ``rows`` rows, and by shuffle (AQE splits hot keys) beyond.
+    """Joins with right broadcast if it is small, and by shuffle (AQE splits hot keys) beyond.
 
     right is counted first, so it should be a written table.
     """
-    if right.limit(rows + 1).count() <= rows:
+    if is_small(right, rows):
         right = F.broadcast(right)
     return left.join(right, on, how)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return estimate <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
+
+
 def null_safe(column: str | Column) -> Column:
     """A group key that is never null: 'v' and the value, or 'n'."""
     column = F.col(column) if isinstance(column, str) else column
