@@ -89,7 +89,7 @@ def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return estimate <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
 
 
