@@ -9,12 +9,14 @@ A document's set is its distinct shingles of ``SHINGLE`` words (A-Z in lower cas
    and each shingle of the piece flips one of them (XOR).  A shingle that only one set has spoils one piece at most,
    so the Hamming distance of two sketches, and the number of pieces in which they differ, is a lower bound of
    the symmetric difference: of the pieces that one of them fills, all but (a + b) / 9 are equal (pigeonhole).
-3. Pieces go to buckets as packed arrays.  A class marks as probes its fullest pieces, more than its bound; a
-   group of classes with one piece is of use if one of them marks it.
+3. Pieces go to buckets as packed arrays, where the classes with one piece are a group.  P is larger than the bound
+   by half, so a class must share many pieces with a partner: it lists its groups, smallest first, and all but the
+   last of as many are searched (any partner is in one of them).  Groups that passages or lines in common put together
+   are large, come last, and fall away.
 4. Groups are joined in two rounds, so that a large group of near copies isn't paired out: first each class is
    compared with one class of its groups (the one it shares most groups with of those that come first in a
    group), on their real sets; components are formed.  Then only classes of different components that share a group
-   are counted, and those that agree in as many probes as the pigeonhole asks for are compared.  A link that is
+   are counted, and those that agree in as many pieces as the pigeonhole asks for are compared.  A link that is
    never compared lies inside a component.
 
 Groups are packed in chunks; no step holds a group's texts or emits the pairs within a component.
@@ -28,26 +30,32 @@ kept by ``one_of_each``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veracet.llm.store import BROADCAST_ROWS, join_small, written
+from veracet.llm.store import BROADCAST_ROWS, drop, join_small, new_path, written
 from veracet.llm.words import as_binary, mix, prefix_hash, range_hash, slices, split_words
 
 SHINGLE = 5
 PERCENT = 80
 #: Sizes below 4 link only with equal sets; each band is half as wide again as it begins.
 FIRST_BAND = 4
-#: Pieces beyond the bound, and the share of a set's pieces that it marks as probes.
-MORE_PIECES = 1.2
-PROBES = 0.85
+#: Pieces for each shingle that linking sets of a band may differ in.
+MORE_PIECES = 1.6
+#: In how many groups two classes must meet before their whole lists are compared (fewer if they need share fewer).
+MEET = 6
+#: Entries that a task holds before it sends them on.
+HELD = 200_000
+#: Buckets for each shuffle partition: a task sorts one bucket at a time.
+BUCKETS = 6
 #: Members of groups that are packed in one row.
-CHUNK = 100_000
+CHUNK = 20_000
 _SKETCH = "kind string, text_hash long, n_shingles long, f1 long, f2 long, doc_id long, bucket int, packed binary"
-_ENTRY = np.dtype([("handle", "<u8"), ("size", "<u4"), ("key", "<u4"), ("flags", "<u4")])  # flags: probes << 2 | own << 1 | probe
+_ENTRY = np.dtype([("handle", "<u8"), ("size", "<u4"), ("key", "<u4"), ("flags", "<u4")])  # flags: pieces that count << 1 | own
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -94,31 +102,29 @@ def bound(a: int | np.ndarray, b: int | np.ndarray, percent: int = PERCENT):
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def sketch(hashes: np.ndarray, begin: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each piece that has shingles: a 64-bit hash of (scheme, piece, its parity bits), and its shingles."""
+def sketch(hashes: np.ndarray, begin: int, pieces: int) -> np.ndarray:
+    """Of each piece that has shingles: a 64-bit hash of (scheme, piece, its parity bits)."""
     piece = (hashes >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
     order = np.argsort(piece, kind="stable")
     piece = piece[order]
     at = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes[order] & np.uint64(63)), at)
-    load = np.diff(np.append(at, len(piece)))
-    return mix(mix(bits ^ (np.uint64(begin) << np.uint64(40))) ^ piece[at]), load
+    return mix(mix(bits ^ (np.uint64(begin) << np.uint64(40))) ^ piece[at])
 
 
-def _entries(hashes: np.ndarray, handle: int, size: int, percent: int) -> list[np.ndarray]:
-    """The class's entries for all its schemes; ``key`` is not truncated yet (u8 in a plain array)."""
+def _entries(hashes: np.ndarray, size: int, percent: int) -> list[tuple[np.ndarray, int, bool]]:
+    """For each scheme of the set: 64-bit keys of its pieces, how many count (0: no bound holds), whether it may be the smaller."""
     out = []
     for begin, largest, own in bands(size):
         most = bound(largest, largest + largest // 4, percent)
         pieces = int(most * MORE_PIECES) + 2
-        keys, load = sketch(hashes, begin, pieces)
-        need = min(len(keys), max(bound(size, size + size // 4, percent) + 1, int(PROBES * len(keys))))
-        probe = np.zeros(len(keys), bool)
-        probe[np.argsort(-load, kind="stable")[:need]] = True
-        out.append((keys, probe, need, own))
-        if len(keys) <= most:  # too few filled pieces: an empty one may be the only equal one
+        keys = sketch(hashes, begin, pieces)
+        if len(keys) > most:
+            out.append((keys, len(keys), own))
+        else:  # too few filled pieces: an empty one may be the only equal one
             empty = np.setdiff1d(np.arange(pieces, dtype=np.uint64), (hashes >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32))
-            out.append((mix(mix(np.full(len(empty), np.uint64(begin) << np.uint64(40))) ^ empty), np.ones(len(empty), bool), 0, own))
+            blank = mix(mix(np.full(len(empty), np.uint64(begin) << np.uint64(40))) ^ empty)
+            out.append((np.concatenate((keys, blank)), 0, own))
     return out
 
 
@@ -163,25 +169,25 @@ def _sketched(buckets: int, percent: int, shingle: int):
                         continue
                     seen.add(k)
                     size = int(count[r])
-                    for keys, probe, need, own in _entries(hashes[end[r] - size : end[r]], k[0], size, percent):
+                    for keys, counted, own in _entries(hashes[end[r] - size : end[r]], size, percent):
                         e = np.empty(len(keys), _ENTRY)
-                        e["handle"], e["size"] = k[0], size
+                        e["handle"], e["size"], e["flags"] = k[0], size, (counted << 1) + own
                         e["key"] = keys >> np.uint64(32)
-                        e["flags"] = (need << 2) + (own << 1) + probe
                         held.append((((keys & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), e))
                         n_held += len(e)
-                if n_held > 2_000_000:
+                if n_held > HELD:
                     yield from packed()
         yield from packed()
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def pack(entries: np.ndarray) -> bytes:
-    """Entries in class order: distinct (class, probes, own) heads once, then each entry's head and key."""
-    head = np.flatnonzero(np.concatenate(([True], (entries["handle"][1:] != entries["handle"][:-1]) | (entries["flags"][1:] >> 1 != entries["flags"][:-1] >> 1))))
+    """Entries in class order: the heads (class, size, flags) once each, then the keys."""
+    head = np.flatnonzero(np.concatenate(([True], (entries["handle"][1:] != entries["handle"][:-1]) | (entries["flags"][1:] != entries["flags"][:-1]))))
     count = np.diff(np.append(head, len(entries))).astype("<u2" if len(entries) < 65536 else "<u4")
-    parts = [np.array([len(head), len(entries), count.itemsize], "<u4"), entries["handle"][head], entries["size"][head], entries["flags"][head] >> 1, count, entries["key"], np.packbits(entries["flags"] & 1)]
+    parts = [np.array([len(head), len(entries), count.itemsize], "<u4"), entries["handle"][head], entries["size"][head], entries["flags"][head], count, entries["key"]]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -192,20 +198,36 @@ def unpack(raw: bytes) -> np.ndarray:
     size = np.frombuffer(raw, "<u4", heads, at := at + 8 * heads)
     flags = np.frombuffer(raw, "<u4", heads, at := at + 4 * heads)
     count = np.frombuffer(raw, f"<u{wide}", heads, at := at + 4 * heads)
-    key = np.frombuffer(raw, "<u4", n, at := at + wide * heads)
-    probe = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at + 4 * n), count=n)
+    key = np.frombuffer(raw, "<u4", n, at + wide * heads)
     row = np.repeat(np.arange(heads), count)
     out = np.empty(n, _ENTRY)
-    out["handle"], out["size"], out["key"] = handle[row], size[row], key
-    out["flags"] = (flags[row] << 1) + probe
+    out["handle"], out["size"], out["flags"], out["key"] = handle[row], size[row], flags[row], key
     return out
 
 
-_GROUPS = "sizes array<int>, members binary"
+_GROUPS = "bucket int, sizes array<int>, members binary"
+
+
+def _chunks(bucket: int, e: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Groups of entries (sizes, one after the other) as rows; groups that cannot have a pair are left out."""
+    if not len(size):
+        return
+    at = np.cumsum(size) - size
+    owns = np.add.reduceat((e["flags"] & 1).astype(np.int64), at) if len(e) else np.zeros(0, np.int64)
+    good = (size > 1) & (owns > 0)
+    e, size = e[np.repeat(good, size)], size[good]
+    end = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + CHUNK)))
+        yield pa.RecordBatch.from_pydict(
+            {"bucket": pa.array([bucket], pa.int32()), "sizes": pa.array([size[i:j].astype(np.int32)], pa.list_(pa.int32())), "members": pa.array([e[end[i] - size[i] : end[j - 1]].tobytes()], pa.binary())}
+        )
+        i = j
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, the groups of two or more classes with one piece, of which one marks it; rows come sorted by bucket."""
+    """Of each bucket, the groups of two or more classes with one piece; rows come sorted by bucket."""
     held: list[np.ndarray] = []
     bucket = None
 
@@ -217,49 +239,126 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["handle"][1:] != e["handle"][:-1]) | (e["flags"][1:] != e["flags"][:-1])
         e = e[new]
         at = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
-        size = np.diff(np.append(at, len(e)))
-        probes = np.add.reduceat((e["flags"] & 1).astype(np.int64), at)
-        owns = np.add.reduceat((e["flags"] >> 1 & 1).astype(np.int64), at)
-        good = (size > 1) & (probes > 0) & (owns > 0)
-        e, size = e[np.repeat(good, size)], size[good]
-        end = np.cumsum(size)
-        i = 0
-        while i < len(size):
-            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + CHUNK)))
-            yield pa.RecordBatch.from_pydict(
-                {"sizes": pa.array([size[i:j].astype(np.int32)], pa.list_(pa.int32())), "members": pa.array([e[end[i] - size[i] : end[j - 1]].tobytes()], pa.binary())}
-            )
-            i = j
+        yield from _chunks(bucket, e, np.diff(np.append(at, len(e))))
 
     for batch in batches:
-        for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+        packed = batch.column("packed")
+        for i, b in enumerate(batch.column("bucket").to_pylist()):
             if held and b != bucket:
                 yield from groups()
             bucket = b
-            held.append(unpack(raw))
+            held.append(unpack(packed[i].as_buffer()))
     if held:
         yield from groups()
+    pa.default_memory_pool().release_unused()
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    sizes, members = batch.column("sizes"), batch.column("members")
+    for i in range(batch.num_rows):
+        yield np.frombuffer(members[i].as_buffer(), _ENTRY), sizes[i].values.to_numpy().astype(np.int64)
+
+
+#: g: a group, numbered so that smaller groups come first; meta: the class's size << 32 | flags.
+_MEMBERS = "g long, handle long, meta long"
+_GROUP_BITS, _MOST = 41, (1 << 22) - 1
 
 
-_PAIRS = "x long, y long, n long, nx long, ny long, need_x long, need_y long"
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each class in each group."""
+    for batch in batches:
+        for (e, size), bucket in zip(_read(batch), batch.column("bucket").to_pylist(), strict=True):
+            g = np.repeat(np.minimum(size, _MOST), size) << _GROUP_BITS | np.int64(bucket) << 32 | e["key"].astype(np.int64)
+            yield _member_batch(g, e)
+
+
+def _member_batch(g: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    meta = e["size"].astype(np.int64) << 32 | e["flags"].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.ascontiguousarray(e["handle"]).view(np.int64)), pa.array(meta)], ["g", "handle", "meta"])
 
 
-def _pair_batch(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, percent: int) -> pa.RecordBatch:
-    """Pairs of entries to counted rows, smaller handle first; need: probes of each that must be equal at least."""
-    swap = x["handle"] > y["handle"]
-    x, y, px, py = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, py, px), np.where(swap, px, py)
-    order = np.lexsort((y["handle"], x["handle"]))
-    x, y, px, py = x[order], y[order], px[order], py[order]
-    new = np.flatnonzero(np.concatenate(([True], (x["handle"][1:] != x["handle"][:-1]) | (y["handle"][1:] != y["handle"][:-1])))) if len(x) else np.zeros(0, int)
-    add = lambda v: np.add.reduceat(v.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
-    differ = bound(x["size"].astype(np.int64), y["size"].astype(np.int64), percent)
-    cols = [x["handle"][new].view(np.int64), y["handle"][new].view(np.int64), add(np.ones(len(x))), add(px), add(py), ((x["flags"] >> 2).astype(np.int64) - differ)[new], ((y["flags"] >> 2).astype(np.int64) - differ)[new]]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in _PAIRS.split(", ")])
+def _repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, handle, meta) sorted by g to groups again."""
+    held: list[tuple] = []
+    last = None
 
+    def close() -> Iterator[pa.RecordBatch]:
+        g, handle, meta = (np.array(c, np.int64) for c in zip(*held, strict=True))
+        e = np.zeros(len(held), _ENTRY)
+        e["handle"], e["size"], e["flags"] = handle.view(np.uint64), meta >> 32, meta & 0xFFFFFFFF
+        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        held.clear()
+        yield from _chunks(0, e, np.diff(np.append(at, len(e))))
 
-def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    small, large = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-    return small * 100 >= large * percent
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("g", "handle", "meta")), strict=True):
+            if len(held) >= CHUNK and row[0] != last:
+                yield from close()
+            last = row[0]
+            held.append(row)
+    if held:
+        yield from close()
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_members``, for groups without keys: numbered by a hash of their chunk and their place in it."""
+    for batch in batches:
+        for (e, size), members in zip(_read(batch), batch.column("members").to_pylist(), strict=True):
+            chunk = int.from_bytes(blake2b(members, digest_size=5).digest(), "little") << 23
+            yield _member_batch(np.repeat(chunk + np.arange(len(size)), size), e)
+
+
+def _needed(percent: int) -> Column:
+    """How many pieces a class must share with any partner: as the smaller set its bound is wider."""
+    wide = F.expr(f"(size + size + size div 4) * {100 - percent} div {100 + percent}")
+    near = F.expr(f"2 * size * {100 - percent} div {100 + percent}")
+    return F.greatest(F.lit(1).cast("long"), F.expr("flags div 2") - F.when(F.col("flags") % 2 == 1, wide).otherwise(near))
+
+
+def _signatures(groups: DataFrame, percent: int) -> DataFrame:
+    """(handle, size, flags, need, gs): the groups of each class that may have a partner, smallest groups first."""
+    listed = groups.mapInArrow(_members, _MEMBERS).groupBy("handle", "meta").agg(F.collect_list("g").alias("gs"))
+    listed = listed.select("handle", F.expr("shiftright(meta, 32)").alias("size"), F.expr("meta & 4294967295").alias("flags"), "gs").withColumn("need", _needed(percent))
+    return written(listed.filter(F.size("gs") >= F.col("need")).withColumn("gs", F.array_sort("gs")), "signatures")
+
+
+def _prefixed(signatures: DataFrame) -> DataFrame:
+    """Groups by the first pieces of each class alone: all but the last need - k, k being ``MEET`` or need if that is
+    less.  Of the groups that two classes share, ``need`` of either at least, the first k are then in both lists, as both
+    list them in one order; flags: k << 1 | own."""
+    spark = signatures.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    k = F.least(F.lit(MEET), F.col("need"))
+    first = F.slice("gs", F.lit(1), (F.size("gs") - F.col("need") + k).cast("int"))
+    rows = signatures.select(F.explode(first).alias("g"), "handle", (F.expr("shiftleft(size, 32)") + k * 2 + F.col("flags") % 2).alias("meta"))
+    return written(rows.repartition(n, "g").sortWithinPartitions("g", "handle").mapInArrow(_repacked, _GROUPS), "prefixes")
+
+
+def _alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs that share enough groups, by their whole lists; pairs: x, y and one of the schemes where they met."""
+    a = signatures.select(F.col("handle").alias("x"), F.col("gs").alias("gx"), F.col("need").alias("nx"), (F.col("flags") % 2 == 1).alias("ox"), F.col("size").alias("sx"))
+    b = signatures.select(F.col("handle").alias("y"), F.col("gs").alias("gy"), F.col("need").alias("ny"), (F.col("flags") % 2 == 1).alias("oy"), F.col("size").alias("sy"))
+    both = pairs.join(a, "x").join(b, "y").filter("ox or oy")
+    return both.filter(F.size(F.array_intersect("gx", "gy")) >= F.greatest("nx", "ny")).select("x", "y").distinct()
+
+
+_PAIRS = "x long, y long, n long, k long"
+
+
+def _pair_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Pairs of entries to counted rows, smaller handle first; k: in how many groups the two must meet."""
+    low, high = np.minimum(x["handle"], y["handle"]), np.maximum(x["handle"], y["handle"])
+    order = np.lexsort((high, low))
+    low, high, k = low[order], high[order], (np.minimum(x["flags"], y["flags"]) >> 1).astype(np.int64)[order]
+    new = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, int)
+    n = np.diff(np.append(new, len(low)))
+    return pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64)), pa.array(high[new].view(np.int64)), pa.array(n), pa.array(k[new])], ["x", "y", "n", "k"])
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """One of the two may be the smaller set here, and the sizes are near enough."""
+    small, large = np.minimum(a["size"], b["size"]).astype(np.int64), np.maximum(a["size"], b["size"]).astype(np.int64)
+    return (a["handle"] != b["handle"]) & ((a["flags"] | b["flags"]) & 1 == 1) & (small * 100 >= large * percent)
 
 
 def _stars(percent: int):
@@ -267,13 +366,10 @@ def _stars(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sizes, members in zip(batch.column("sizes").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                e, size = np.frombuffer(members, _ENTRY), np.array(sizes, np.int64)
-                at = np.cumsum(size) - size
-                x = e[np.repeat(at, size)]
-                probe = (x["flags"] | e["flags"]) & 1
-                ok = (x["handle"] != e["handle"]) & (probe == 1) & ((x["flags"] | e["flags"]) & 2 > 0) & _sizes_fit(x["size"], e["size"], percent)
-                yield _pair_batch(x[ok], e[ok], x["flags"][ok] & 1, e["flags"][ok] & 1, percent)
+            for e, size in _read(batch):
+                x = e[np.repeat(np.cumsum(size) - size, size)]
+                ok = _may_link(x, e, percent)
+                yield _pair_batch(x[ok], e[ok])
 
     return run
 
@@ -290,8 +386,7 @@ def _across(labels: tuple[np.ndarray, np.ndarray], percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sizes, members in zip(batch.column("sizes").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                e, size = np.frombuffer(members, _ENTRY), np.array(sizes, np.int64)
+            for e, size in _read(batch):
                 c = component_of(e["handle"])
                 end = np.cumsum(size)
                 at = end - size
@@ -301,17 +396,15 @@ def _across(labels: tuple[np.ndarray, np.ndarray], percent: int):
                     i = np.arange(at[g], end[g])
                     for k in range(1, len(i)):  # each class with the k-th after it
                         a, b = i[:-k], i[k:]
-                        ok = (c[a] != c[b]) & ((e["flags"][a] | e["flags"][b]) & 1 > 0) & ((e["flags"][a] | e["flags"][b]) & 2 > 0) & _sizes_fit(e["size"][a], e["size"][b], percent)
+                        ok = (c[a] != c[b]) & _may_link(e[a], e[b], percent)
                         xs.append(a[ok])
                         ys.append(b[ok])
                         n += len(xs[-1])
                     if n > 500_000:
-                        x, y = e[np.concatenate(xs)], e[np.concatenate(ys)]
-                        yield _pair_batch(x, y, x["flags"] & 1, y["flags"] & 1, percent)
+                        yield _pair_batch(e[np.concatenate(xs)], e[np.concatenate(ys)])
                         xs, ys, n = [], [], 0
                 if n:
-                    x, y = e[np.concatenate(xs)], e[np.concatenate(ys)]
-                    yield _pair_batch(x, y, x["flags"] & 1, y["flags"] & 1, percent)
+                    yield _pair_batch(e[np.concatenate(xs)], e[np.concatenate(ys)])
 
     return run
 
@@ -376,57 +469,25 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percen
     return written(both.mapInArrow(_compared(percent, shingle), "x long, y long"), "links")
 
 
-def _labels(spark: SparkSession, found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components: labels are given to all tasks if they are few, and joined to the members beyond."""
+def _pairs_across(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Counted pairs across components: labels are given to all tasks if they are few; beyond, groups of one component are dropped by joins."""
+    spark = groups.sparkSession
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         rows = found.toPandas()
         handle = rows["node"].to_numpy(np.int64).view(np.uint64)
         component = rows["component"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(handle)
         return groups.mapInArrow(_across((handle[order], component[order]), percent), _PAIRS)
-    members = groups.mapInArrow(_unpacked, "g string, handle long, size long, flags long")
-    members = members.join(found.withColumnRenamed("node", "handle"), "handle", "left").withColumn("c", F.coalesce("component", "handle"))
-    # groups of one component are dropped by a grouped count before any group is put together
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = groups.mapInArrow(_numbered, _MEMBERS)
+    members = written(members.join(found.withColumnRenamed("node", "handle"), "handle", "left").withColumn("c", F.coalesce("component", "handle")), "group-members")
     mixed = members.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("g")
-    members = members.join(mixed, "g", "left_semi").repartition("g").sortWithinPartitions("g")
-    return members.select("g", "handle", "size", "flags", "c").mapInArrow(_across_rows(percent), _PAIRS)
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for batch in batches:
-        for sizes, members in zip(batch.column("sizes").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            e = np.frombuffer(members, _ENTRY)
-            name = hashlib.sha256(members).hexdigest()[:24]
-            g = [f"{name}-{i}" for i, s in enumerate(sizes) for _ in range(s)]
-            cols = [pa.array(g), pa.array(e["handle"].astype(np.uint64).view(np.int64)), pa.array(e["size"].astype(np.int64)), pa.array(e["flags"].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["g", "handle", "size", "flags"])
-
-
-def _across_rows(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[int, int, int, int]]] = {}
-
-        def close() -> Iterator[pa.RecordBatch]:
-            for rows in held.values():
-                e = np.empty(len(rows), _ENTRY)
-                h, e["size"], e["flags"], c = (np.array(v) for v in zip(*rows, strict=True))
-                e["handle"] = h.view(np.uint64)
-                e["key"] = 0
-                labels = (np.sort(e["handle"]), c.view(np.uint64)[np.argsort(e["handle"])])
-                one = pa.RecordBatch.from_pydict({"sizes": pa.array([[len(e)]], pa.list_(pa.int32())), "members": pa.array([e.tobytes()], pa.binary())})
-                yield from _across(labels, percent)(iter([one]))
-            held.clear()
-
-        for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "handle", "size", "flags", "c")), strict=True):
-                if held and g not in held:
-                    yield from close()
-                held.setdefault(g, []).append(tuple(row))
-        yield from close()
-
-    return run
+    rest = members.join(mixed, "g", "left_semi").select("g", "handle", "meta").repartition(n, "g").sortWithinPartitions("g", "handle")
+    empty = np.zeros(0, np.uint64)
+    pairs = rest.mapInArrow(_repacked, _GROUPS).mapInArrow(_across((empty, empty), percent), _PAIRS)
+    own = found.select(F.col("node").alias("_n"), "component")
+    pairs = pairs.join(own.withColumnsRenamed({"_n": "x", "component": "cx"}), "x", "left").join(own.withColumnsRenamed({"_n": "y", "component": "cy"}), "y", "left")
+    return pairs.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y", "n", "k")
 
 
 def linked(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -435,21 +496,25 @@ def linked(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash())
-    made = written(rows.mapInArrow(_sketched(n, percent, shingle), _SKETCH), "sketches")
+    path = new_path(spark, "sketches")
+    made = written(rows.mapInArrow(_sketched(BUCKETS * n, percent, shingle), _SKETCH), "sketches", path)
     base = made.filter("kind = 'd'").select("doc_id", "n_shingles", "f1", "f2", "text_hash")
     classes = written(base.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("one"), F.count("*").alias("copies")), "classes")
     sent = made.filter("kind = 'e'").select("bucket", "packed").repartition(n, "bucket").sortWithinPartitions("bucket")
     groups = written(sent.mapInArrow(_grouped, _GROUPS), "groups")
+    base = written(base, "sets")
+    drop(spark, path)
+    signatures = _signatures(groups, percent)
+    groups = _prefixed(signatures)
     stars = groups.mapInArrow(_stars(percent), _PAIRS).groupBy("x", "y").agg(F.sum("n").alias("n"))
     ends = stars.select(F.col("x").alias("node"), "x", "y", "n").unionByName(stars.select(F.col("y").alias("node"), "x", "y", "n"))
     first = ends.groupBy("node").agg(F.max(F.struct("n", F.col("x").alias("x"), F.col("y").alias("y"))).alias("p"))
-    first = written(first.select("p.x", "p.y").distinct(), "first-pairs")
+    first = written(_alike(first.select("p.x", "p.y").distinct(), signatures), "first-pairs")
     links = _verified(first, classes, documents, percent, shingle)
     found = components(links)
-    second = _labels(spark, found, groups, percent).groupBy("x", "y").agg(
-        F.sum("nx").alias("nx"), F.sum("ny").alias("ny"), F.min("need_x").alias("need_x"), F.min("need_y").alias("need_y")
-    )
-    second = written(second.filter("nx >= need_x and ny >= need_y").select("x", "y").join(first, ["x", "y"], "left_anti"), "second-pairs")
+    second = _pairs_across(found, groups, percent).groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("k").alias("k"))
+    second = written(second.filter("n >= k").select("x", "y").join(first, ["x", "y"], "left_anti"), "met")
+    second = written(_alike(second, signatures), "second-pairs")
     if not second.isEmpty():
         links = links.unionByName(_verified(second, classes, documents, percent, shingle))
         found = components(links)
@@ -465,11 +530,11 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The documents, of each component only one: the row with the smallest doc_id (of repeated rows, one).
     Rows with a null doc_id stay."""
     found = written(linked(documents, **options), "linked")
-    gone = written(found.filter("doc_id > component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    rest = join_small(documents, gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    twice = found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("_id"))
+    gone = written(found.filter("doc_id > component_id").select(F.col("doc_id").alias("__veracet_id")).distinct(), "gone")
+    rest = join_small(documents, gone, F.col("doc_id") == F.col("__veracet_id"), "left_anti")
+    twice = found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("__veracet_id"))
     twice = written(twice, "twice")
     if twice.isEmpty():
         return rest
-    same = F.col("doc_id") == F.col("_id")
+    same = F.col("doc_id") == F.col("__veracet_id")
     return join_small(rest, twice, same, "left_anti").unionByName(join_small(rest, twice, same, "left_semi").dropDuplicates(["doc_id"]))
