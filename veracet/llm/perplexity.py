@@ -6,9 +6,11 @@ all documents are counted (in each partition first, then by a grouped sum in Spa
 model in one task: there are at most SYMBOLS ** ORDER of them, whatever the corpus.  For each order it is a sorted
 array of n-gram codes with their probabilities, and one of contexts with their back-off weights.
 
-A document's score is its bits per symbol (log2 of the perplexity).  Each language's scores are counted in bins of
-1 / ``BINS`` bit over all documents that pass the base rules, and those outside [q1 - SPAN * (q3 - q1), q3 + SPAN * (q3 - q1)]
-are rejected, q1 and q3 being the quartiles (a spread below ``LEAST_SPREAD`` counts as that).
+A document has two scores: its bits per symbol (log2 of the perplexity), and the bits that its signs cost per word, as a
+text salted with signs pays for them what its letters save.  Each language's scores are counted in bins of
+1 / ``BINS`` bit over all documents that pass the base rules; q1 and q3 being the quartiles, those whose bits per symbol
+are outside [q1 - LOW_SPAN * (q3 - q1), q3 + SPAN * (q3 - q1)] (a spread below ``LEAST_SPREAD`` counts as that), or
+whose sign bits are above q3 + SPAN * (q3 - q1) (likewise, ``LEAST_SIGN_SPREAD``), are rejected.
 
 Defined results: null text has no words and fails the base rules; a text of fewer than ORDER symbols has no score
 and isn't rejected by the bands; null languages are one language; repeated rows count each; an empty table gives an empty
@@ -26,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracet.llm.store import join_small, written
-from veracet.llm.words import Words, as_binary, mix, row_of, slices, split_words
+from veracet.llm.words import Words, as_binary, mix, row_of, slices, split_words, spread
 
 ORDER = 4
 SYMBOL_BITS = 5
 SYMBOLS = 1 << SYMBOL_BITS
 BINS = 100
+#: Chosen from scores measured on sf0.1 (README): texts in two languages stay, salted and degenerate ones don't.
 SPAN = 10.0
+LOW_SPAN = 4.0
 LEAST_SPREAD = 0.05
+LEAST_SIGN_SPREAD = 0.31
 MIN_WORDS = 50
 #: Languages whose counts a task holds before it sends them on.
 HELD_LANGUAGES = 16
@@ -234,7 +239,7 @@ def _base(words: Words, raw: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
-_SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double"
+_SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, sign_bits double"
 
 
 def _scored(models: dict[str, list], order: int):
@@ -256,26 +261,26 @@ def _scored(models: dict[str, list], order: int):
                 words = split_words(part)
                 code = codes(words.data, order)
                 begin, end = _extent(words, order)
-                score = np.full(j - i, np.nan)
+                score, salt = np.full(j - i, np.nan), np.full(j - i, np.nan)
+                sign = (code & (SYMBOLS - 1)) == _SIGN
+                n_words = np.diff(words.first)
                 for lang in set(langs[i:j]):
                     mine = np.flatnonzero((langs[i:j] == lang) & (end > begin))
                     if len(mine) and lang in models:
-                        sums = np.concatenate(([0.0], np.cumsum(bits(lang)[code], dtype=np.float64))) if len(set(langs[i:j])) < 3 else None
-                        if sums is not None:
-                            score[mine] = (sums[end[mine]] - sums[begin[mine]]) / (end[mine] - begin[mine])
-                        else:
-                            table = bits(lang)
-                            score[mine] = [float(table[code[a:b]].sum(dtype=np.float64)) / (b - a) for a, b in zip(begin[mine].tolist(), end[mine].tolist(), strict=True)]
+                        at, of = spread(begin[mine], end[mine] - begin[mine]), np.repeat(np.arange(len(mine)), end[mine] - begin[mine])
+                        cost = bits(lang)[code[at]]
+                        score[mine] = np.bincount(of, cost, len(mine)) / (end[mine] - begin[mine])
+                        salt[mine] = np.bincount(of[sign[at]], cost[sign[at]], len(mine)) / n_words[mine]
                 base = _base(words, part.to_pylist())
-                cols = [batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(langs[i:j].tolist(), pa.string()), *(pa.array(v.astype(np.int64)) for v in base.values()), pa.array(score, from_pandas=True)]
+                cols = [batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(langs[i:j].tolist(), pa.string()), *(pa.array(v.astype(np.int64)) for v in base.values()), pa.array(score, from_pandas=True), pa.array(salt, from_pandas=True)]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _SCORED.split(", ")])
 
     return run
 
 
-def bands(scores: DataFrame, span: float = SPAN) -> DataFrame:
-    """(lang, low, high): from the quartiles of each language's scores, counted in bins."""
-    binned = scores.filter("bits is not null and not base_failed").groupBy("lang", F.floor(F.col("bits") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+def _quartiles(scores: DataFrame, score: str) -> DataFrame:
+    """(lang, q1, q3) of a score, counted in bins, over the documents that pass the base rules."""
+    binned = scores.filter(F.col(score).isNotNull() & ~F.col("base_failed")).groupBy("lang", F.floor(F.col(score) * BINS).alias("bin")).agg(F.count("*").alias("n"))
     lists = binned.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("all"))
 
     def quartile(share: float):
@@ -285,9 +290,18 @@ def bands(scores: DataFrame, span: float = SPAN) -> DataFrame:
         )
         return seen["at"] / BINS
 
-    q = lists.select("lang", quartile(0.25).alias("q1"), (quartile(0.75) + 1.0 / BINS).alias("q3"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD))
-    return q.select("lang", (F.col("q1") - span * spread).alias("low"), (F.col("q3") + span * spread).alias("high"))
+    return lists.select("lang", quartile(0.25).alias("q1"), (quartile(0.75) + 1.0 / BINS).alias("q3"))
+
+
+def bands(scores: DataFrame, span: float = SPAN, low_span: float = LOW_SPAN) -> DataFrame:
+    """(lang, low, high, most_signs): the bands of each language, from the quartiles of its scores."""
+
+    def wide(least: float):
+        return F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+
+    q = _quartiles(scores, "bits").select("lang", (F.col("q1") - low_span * wide(LEAST_SPREAD)).alias("low"), (F.col("q3") + span * wide(LEAST_SPREAD)).alias("high"))
+    signs = _quartiles(scores, "sign_bits").select("lang", (F.col("q3") + span * wide(LEAST_SIGN_SPREAD)).alias("most_signs"))
+    return q.join(signs, "lang")
 
 
 def judged(documents: DataFrame, span: float = SPAN) -> DataFrame:
@@ -300,5 +314,5 @@ def judged(documents: DataFrame, span: float = SPAN) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scores = written(scores.withColumn("base_failed", failed), "scores")
     scores = join_small(scores, written(bands(scores, span), "bands"), "lang")
-    inside = F.coalesce((F.col("bits") >= F.col("low")) & (F.col("bits") <= F.col("high")), F.lit(True))
+    inside = F.coalesce((F.col("bits") >= F.col("low")) & (F.col("bits") <= F.col("high")) & (F.col("sign_bits") <= F.col("most_signs")), F.lit(True))
     return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "bits")
