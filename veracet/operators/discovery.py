@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +85,33 @@ def potential_duplicates(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def duplicate_classes(rows: DataFrame, ways: dict[str, list]) -> DataFrame:
+    """(way, representative, id) for the members of each class of at least two ids that agree in all columns of a way.
+
+    Two ids are a pair if they share a (way, representative); the representative, the smallest id, is a member too.  So
+    a class of n ids is n rows and not n * (n - 1).  Null keys and ids agree with none; repeated rows count once.
+    """
+    each = F.array(*[F.struct(F.lit(w).alias("way"), F.array(*[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]).alias("key")) for w, cols in ways.items()])
+    keyed = rows.filter("id is not null").select("id", F.explode(each).alias("_e")).select("id", "_e.way", "_e.key").filter(~F.exists("key", F.isnull)).distinct()
+    classes = keyed.groupBy("way", "key").agg(F.min("id").alias("representative"), F.count("*").alias("_n")).filter("_n > 1")
+    return keyed.join(classes, ["way", "key"]).select("way", "representative", "id")
+
+
+def pair_count(rows: DataFrame, ways: dict[str, list]) -> DataFrame:
+    """One row, ``pairs``: ordered pairs of ids that agree in some way, by inclusion and exclusion of the classes' sizes, so none is made.
+
+    An id has one row (or equal ones).
+    """
+    keys = {w: F.array(*[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]) for w, cols in ways.items()}
+    keyed = rows.filter("id is not null").select("id", *[F.when(~F.exists(k, F.isnull), k).alias(w) for w, k in keys.items()]).distinct()
+    found = []
+    for n in range(1, len(ways) + 1):
+        for some in itertools.combinations(ways, n):
+            size = keyed.dropna(subset=list(some)).groupBy(*some).agg(F.count("*").alias("n"))
+            found.append(size.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("n")).select((F.col("n") * (-1) ** (n + 1)).alias("n")))
+    return functools.reduce(DataFrame.unionByName, found).agg(F.sum("n").alias("pairs"))
+
+
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """Breadth-first: node and the least depth at which links reach it from the seeds; edges: source, target; seeds: node.
 

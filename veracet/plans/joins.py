@@ -182,6 +182,30 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
     return discovery.potential_duplicates(h, h).filter("a_id <> b_id").agg(F.count("*").alias("pairs"))
 
 
+_PRODUCT_WAYS = {"gtin": ["gtin"], "title": ["title"], "brand_model": ["brand", "model_number"]}
+
+
+def _page_ways() -> dict[str, list]:
+    return {"host": ["host"], "base": ["base"], "name": [discovery.name_key("name"), F.col("markets")[0]]}
+
+
+# j12, j14 and j15 over the whole tables, without SQL: a join that lists the pairs grows with the square of a class.
+@query("j12_any_of_three_whole")
+def j12_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.products(spark, d).withColumnRenamed("product_id", "id")
+    return discovery.duplicate_classes(rows, _PRODUCT_WAYS)
+
+
+@query("j14_registered_duplicates_whole")
+def j14_whole(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.duplicate_classes(_hosts(spark, d), _page_ways())
+
+
+@query("j15_self_duplicates_whole")
+def j15_whole(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.pair_count(_hosts(spark, d), _page_ways())
+
+
 @query(
     "j16_suppressed",
     f"WITH {_HOSTS}, s AS (SELECT host, max(id) AS by_id FROM h WHERE id % 7 = 0 GROUP BY host) SELECT h.id, s.by_id FROM h JOIN s USING (host)",
