@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from veracet.llm import perplexity
+import numpy as np
+import pytest
+
+from veracet.llm import link_trust, perplexity
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -24,3 +27,21 @@ def test_perplexity_rejects_salted_and_degenerate_text(spark):
     assert not any(r["base_failed"] for r in out.values())
     assert [i for i, r in out.items() if not r["kept"] and (i < 1000 or i >= 4000)] == []
     assert [i for i, r in out.items() if r["kept"] and 1000 <= i < 4000] == []
+
+
+def test_every_linker_of_a_blocked_host_is_blocked(spark):
+    bad, fine = '<a href="http://evil.net/x">x</a>', "".join(f'<a href="http://calm{i}.example/x">x</a>' for i in range(9))
+    rows = [("http://evil.net/x", ""), *[(f"http://ring{i}.example/a", bad) for i in range(5)], ("http://hub.example/a", bad + fine), *[(f"http://calm{i}.example/a", "") for i in range(9)]]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in link_trust.judged(pages).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"evil.net", *[f"ring{i}.example" for i in range(5)]}
+
+
+def test_propagation_goes_on_until_the_tolerance(spark):
+    edges = [("a", "b", 1.0), ("b", "a", 1.0)]
+    seeds = [("a", 1.0, 0.0), ("b", 0.0, 1.0)]
+    got = {r["host"]: r for r in link_trust.propagated(spark.createDataFrame(edges, "source string, target string, weight double"), spark.createDataFrame(seeds, "host string, trust double, distrust double")).collect()}
+    want = np.linalg.solve(np.eye(2) - 0.85 * np.array([[0, 1], [1, 0]]), [1, 0])
+    assert [got["a"]["trust"], got["b"]["trust"]] == pytest.approx(want, abs=1e-5)
+    assert [got["b"]["distrust"], got["a"]["distrust"]] == pytest.approx(want, abs=1e-5)
+    assert [got["b"]["blame"], got["a"]["blame"]] == pytest.approx([1, 0.85], abs=1e-5)
