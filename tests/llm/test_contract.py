@@ -11,8 +11,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from veracet.llm import exact_dedup, language, link_trust, mixing, near_dup, packing, perplexity, substring_dedup, templates, token_archive
+from veracet.llm import exact_dedup, language, link_trust, mixing, near_dup, packing, perplexity, store, substring_dedup, templates, token_archive
 from veracet.llm.tokens import ChunkTokenizer, tokenizer_path
 from veracet.llm.words import as_binary
 
@@ -245,24 +246,11 @@ def test_plan_covers_all_pieces_and_is_near_the_bound(seed):
     assert packing.plan({}, capacity) == (0, [])
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_near_duplicates(spark, empty, monkeypatch, limit):
-    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", limit)
-    rng = random.Random(9)
-    rows = [tuple(r)[:2] for r in corpus(50, seed=8)]
-    vocabulary = ["".join(rng.choices(string.ascii_letters, k=5)) for _ in range(3000)]
-    for base in range(6):  # chains: each a few changes from the one before, so that only neighbours link
-        words = rng.choices(vocabulary, k=rng.choice([8, 12, 40, 200]))
-        for step in range(8):
-            rows.append((1000 + base * 10 + step, " ".join(words)))
-            words = list(words)
-            for _ in range(max(1, len(words) // 60)):
-                words[rng.randrange(len(words))] = rng.choice(vocabulary)
-    line = " ".join(rng.choices(vocabulary, k=25))
-    rows += [(2000 + i, line + " " + " ".join(rng.choices(vocabulary, k=30))) for i in range(40)]
+def near_components(rows, percent):
+    """(doc_id, set size, component) of rows (doc_id, text, ...), by comparing all pairs."""
     low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     sets = []
-    for _, t in rows:
+    for _, t, *_ in rows:
         w = WORD.findall((t or "").translate(low).encode())
         sets.append({b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {b" ".join(w)} if w else set())
     up = list(range(len(rows)))
@@ -274,22 +262,71 @@ def test_near_duplicates(spark, empty, monkeypatch, limit):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 up[find(i)] = find(j)
     least = collections.defaultdict(lambda: None)
-    for i, (d, _) in enumerate(rows):
+    for i, (d, *_) in enumerate(rows):
         if d is not None:
             least[find(i)] = d if least[find(i)] is None else min(d, least[find(i)])
-    want = [(d, len(sets[i]), least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)]
+    return [(d, len(sets[i]), least[find(i)] if sets[i] else d) for i, (d, *_) in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("percent", "split", "broadcast"), [(80, 4096, 200_000), (80, 2, 0), (60, 4096, 200_000), (93, 3, 200_000), (100, 4096, 200_000)])
+def test_near_duplicates(spark, empty, monkeypatch, percent, split, broadcast):
+    monkeypatch.setattr(near_dup, "SPLIT", split)
+    monkeypatch.setattr(near_dup, "join_small", lambda *args: store.join_small(*args, rows=broadcast))
+    rng = random.Random(9)
+    rows = [tuple(r)[:2] for r in corpus(50, seed=8)]
+    vocabulary = ["".join(rng.choices(string.ascii_letters, k=5)) for _ in range(3000)]
+    for base in range(8):  # chains: each a few changes from the one before, so that only neighbours link
+        words = rng.choices(vocabulary, k=[8, 9, 12, 20, 40, 90, 150, 200][base])
+        for step in range(8):
+            rows.append((1000 + base * 10 + step, " ".join(words)))
+            words = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+    for i in range(40):  # prefixes of one text: sizes from 4 on
+        rows.append((1500 + i, " ".join(vocabulary[: 8 + i])))
+    base = rng.choices(vocabulary, k=120)
+    for i in range(60):  # many changed copies of one text, of which some pairs link
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((1700 + i, " ".join(words)))
+    line = " ".join(rng.choices(vocabulary, k=25))
+    rows += [(2000 + i, line + " " + " ".join(rng.choices(vocabulary, k=30))) for i in range(40)]
+    want = near_components(rows, percent)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert by_id(map(tuple, near_dup.linked(df).collect())) == by_id(want)
-    kept = near_dup.one_of_each(df).collect()
-    assert collections.Counter(r["doc_id"] for r in kept if r["doc_id"] is not None) == collections.Counter(
+    if split == 2:  # columns that bear the operator's own names
+        df = df.withColumns({"node": F.lit("x"), "g": F.lit(1), "text_hash": F.lit(None), "component": F.lit(2.0)})
+    assert by_id(map(tuple, near_dup.linked(df, percent=percent).collect())) == by_id(want)
+    kept = near_dup.one_of_each(df, percent=percent)
+    assert kept.columns == df.columns
+    assert collections.Counter(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == collections.Counter(
         [c for c in {w[2] for w in want if w[1] and w[0] is not None}] + [w[0] for w in want if not w[1] and w[0] is not None]
     )
     assert near_dup.linked(empty).collect() == []
 
 
+def test_near_duplicates_amid_a_passage_that_all_share(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows, want = [], []
+    for i in range(2500):  # texts of 30 words of their own; of every fifth, three copies with another word changed
+        own = [f"w{rng.randrange(10**6)}" for _ in range(70)]
+        for k in range(4 if i % 5 == 0 else 1):
+            words = [*own[:k], "changed", *own[k + 1 :]] if k else own
+            rows.append((i * 10 + k, f"{' '.join(words)} {passage}"))
+            want.append((i * 10 + k, 96, i * 10))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "120")
+    try:
+        got = near_dup.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert by_id(map(tuple, got)) == by_id(want)
+
+
 def test_mixing(docs, empty):
     first, second = (by_id(map(tuple, mixing.mix_report(docs, block=8).drop("pieces").collect())) for _ in range(2))
     assert first == second

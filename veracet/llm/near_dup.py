@@ -3,23 +3,23 @@
 A document's set is its distinct shingles of ``SHINGLE`` words (A-Z in lower case).  Two documents link if
 100 * intersection >= ``PERCENT`` * union; linked documents share a component.
 
-1. Sets that are equal are one class (known by a 128-bit hash of the set), so copies of any number cost one entry.
-2. Classes of sizes a <= b that link differ in at most (1 - t) / (1 + t) * (a + b) shingles, which is (a + b) / 9
-   at t = 0.8.  For each size band the hash space is cut into P pieces; a set's sketch has 64 bits for each piece,
-   and each shingle of the piece flips one of them (XOR).  A shingle that only one set has spoils one piece at most,
-   so the Hamming distance of two sketches, and the number of pieces in which they differ, is a lower bound of
-   the symmetric difference: of the pieces that one of them fills, all but (a + b) / 9 are equal (pigeonhole).
-3. Pieces go to buckets as packed arrays, where the classes with one piece are a group.  P is larger than the bound
-   by half, so a class must share many pieces with a partner: it lists its groups, smallest first, and all but the
-   last of as many are searched (any partner is in one of them).  Groups that passages or lines in common put together
-   are large, come last, and fall away.
-4. Groups are joined in two rounds, so that a large group of near copies isn't paired out: first each class is
-   compared with one class of its groups (the one it shares most groups with of those that come first in a
-   group), on their real sets; components are formed.  Then only classes of different components that share a group
-   are counted, and those that agree in as many pieces as the pigeonhole asks for are compared.  A link that is
-   never compared lies inside a component.
-
-Groups are packed in chunks; no step holds a group's texts or emits the pairs within a component.
+1. Sets that are equal are one class (known by a 128-bit hash of the set), so copies of any number cost one node.
+2. Each shingle flips one bit of a parity sketch (XOR), so the Hamming distance of two sketches is a lower bound of the
+   symmetric difference of their sets.  Sets of sizes a <= b that link differ in (1 - t) / (1 + t) * (a + b) shingles at
+   most, t being the similarity.
+3. Pigeonhole: for each size band the hash space, a sketch with a bit for every hash, is cut into pieces, more than the
+   bound by half.  A piece's parity bits are held as the XOR of a random word for each bit that is set: equal bits have equal
+   words.  A shingle that only one set has spoils one piece, so linking sets have equal pieces: of those that one of
+   them fills, all but as many as the bound.  Pieces go to their owners as packed arrays, and the sources hear which are
+   shared and by how many.
+4. A set that shares fewer pieces than any partner would need falls away at its source.  The others list their shared
+   pieces, rarest first, and only the first ones are groups to search: all but the last that must be shared (a common piece is
+   then in both lists).  Passages and lines in common make few equal pieces, and those the most frequent.
+5. Groups are never paired out.  Each node is compared with the first node of a group that it shares most groups with;
+   links are verified on the real sets, and components formed.  Groups with several components are then searched by
+   narrow sketches laid out in bits: of the nodes of other components whose Hamming distance is within the bound, each node
+   names the nearest, which are verified and merged; and then all that are left are named and verified.  A link that
+   is never compared lies inside a component.  Groups beyond ``SPLIT`` nodes are compared in blocks, by many tasks.
 
 Defined results: null text, or text without words, has an empty set and links with nothing; a text with fewer
 words than a shingle has one shingle, the whole of it; null doc_ids take part, and a component's id is the
@@ -30,32 +30,33 @@ kept by ``one_of_each``).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veracet.llm.store import BROADCAST_ROWS, drop, join_small, new_path, written
+from veracet.llm.store import drop, join_small, new_path, written
 from veracet.llm.words import as_binary, mix, prefix_hash, range_hash, slices, split_words
 
 SHINGLE = 5
 PERCENT = 80
-#: Sizes below 4 link only with equal sets; each band is half as wide again as it begins.
-FIRST_BAND = 4
-#: Pieces for each shingle that linking sets of a band may differ in.
+#: Pieces for each shingle that linking sets of a band may differ in, and the least number of pieces.
 MORE_PIECES = 1.6
-#: In how many groups two classes must meet before their whole lists are compared (fewer if they need share fewer).
-MEET = 6
+LEAST_PIECES = 64
 #: Entries that a task holds before it sends them on.
-HELD = 200_000
+HELD = 500_000
 #: Buckets for each shuffle partition: a task sorts one bucket at a time.
-BUCKETS = 6
-#: Members of groups that are packed in one row.
-CHUNK = 20_000
-_SKETCH = "kind string, text_hash long, n_shingles long, f1 long, f2 long, doc_id long, bucket int, packed binary"
-_ENTRY = np.dtype([("handle", "<u8"), ("size", "<u4"), ("key", "<u4"), ("flags", "<u4")])  # flags: pieces that count << 1 | own
+BUCKETS = 2
+#: Nodes of a group that one task compares with each other.
+SPLIT = 4096
+#: Bits of a narrow sketch: the power of two from ``WIDE`` times the size on, within these bounds.
+WIDE, LEAST_BITS, MOST_BITS = 4, 64, 8192
+#: A node's number: the partition and the flush (``uid``), then its place there.
+_PLACE_BITS, _FLUSH_BITS = 24, 16
+_SKETCH = "kind string, doc_id long, text_hash long, n_shingles long, f1 long, f2 long, node long, bucket int, uid long, packed binary"
+_PAIRS = "x long, y long, n long"
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +84,20 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
     return h[new], np.bincount(r[new], minlength=rows)
 
 
-def bands(size: int) -> list[tuple[int, int, bool]]:
+def first_size(percent: int) -> int | None:
+    """The smallest set that links with another one; None if only equal sets link."""
+    return -(-percent // (100 - percent)) if percent < 100 else None
+
+
+def bands(size: int, percent: int = PERCENT) -> list[tuple[int, int, bool]]:
     """The schemes a set of this size takes part in: (begin, largest size, whether it may be the smaller set)."""
-    out, begin = [], FIRST_BAND
-    while begin <= size:
+    out, begin = [], first_size(percent)
+    while begin is not None and begin <= size:
         end = begin + max(1, begin // 2)
         largest = end - 1
         if size <= largest:
             out.append((begin, largest, True))
-        elif size <= largest + largest // 4:
+        elif size <= largest * 100 // percent:
             out.append((begin, largest, False))
         begin = end
     return out
@@ -102,427 +108,472 @@ def bound(a: int | np.ndarray, b: int | np.ndarray, percent: int = PERCENT):
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def sketch(hashes: np.ndarray, begin: int, pieces: int) -> np.ndarray:
-    """Of each piece that has shingles: a 64-bit hash of (scheme, piece, its parity bits)."""
-    piece = (hashes >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
-    order = np.argsort(piece, kind="stable")
-    piece = piece[order]
-    at = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (hashes[order] & np.uint64(63)), at)
-    return mix(mix(bits ^ (np.uint64(begin) << np.uint64(40))) ^ piece[at])
-
-
-def _entries(hashes: np.ndarray, size: int, percent: int) -> list[tuple[np.ndarray, int, bool]]:
-    """For each scheme of the set: 64-bit keys of its pieces, how many count (0: no bound holds), whether it may be the smaller."""
-    out = []
-    for begin, largest, own in bands(size):
-        most = bound(largest, largest + largest // 4, percent)
-        pieces = int(most * MORE_PIECES) + 2
-        keys = sketch(hashes, begin, pieces)
+def entries(hashes: np.ndarray, words: np.ndarray, percent: int = PERCENT) -> list[tuple[np.ndarray, int, bool]]:
+    """For each scheme of the set: 64-bit keys of its pieces, how many a partner must share, whether it may be the smaller.
+
+    hashes: the set, ascending; words: the random word of each.
+    """
+    size, out = len(hashes), []
+    high = hashes >> np.uint64(32)
+    for begin, largest, own in bands(size, percent):
+        most = bound(largest, largest * 100 // percent, percent)
+        pieces = max(int(most * MORE_PIECES) + 2, LEAST_PIECES)
+        piece = high * np.uint64(pieces) >> np.uint64(32)
+        at = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+        scheme = np.uint64(begin) << np.uint64(40)
+        keys = mix(mix(np.bitwise_xor.reduceat(words, at) ^ scheme) ^ piece[at])
         if len(keys) > most:
-            out.append((keys, len(keys), own))
-        else:  # too few filled pieces: an empty one may be the only equal one
-            empty = np.setdiff1d(np.arange(pieces, dtype=np.uint64), (hashes >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32))
-            blank = mix(mix(np.full(len(empty), np.uint64(begin) << np.uint64(40))) ^ empty)
-            out.append((np.concatenate((keys, blank)), 0, own))
+            need = max(1, len(keys) - bound(size, size * 100 // percent if own else largest, percent))
+        else:  # so few filled pieces that an empty one may be the only equal one
+            empty = np.setdiff1d(np.arange(pieces, dtype=np.uint64), piece)
+            keys, need = np.concatenate((keys, mix(mix(np.full(len(empty), scheme)) ^ empty))), 1
+        out.append((keys, need, own))
     return out
 
 
-def _sketched(buckets: int, percent: int, shingle: int):
-    fields = [("kind", pa.string()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())]
-    schema = pa.schema(fields)
+def narrow(hashes: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, laid out in 64-bit words."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (WIDE * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one width, the least of theirs: a bit is the parity of those that meet in it."""
+    width = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, width), axis=0) for s in sketches])
+
+
+class _Flush:
+    """What a task holds until it sends it: entries (bucket, key, signature) and the heads of signatures."""
+
+    def __init__(self, uid: int):
+        self.uid, self.nodes, self.n = uid, 0, 0
+        self.heads: list[tuple[int, int, int, bool]] = []
+        self.keys: list[np.ndarray] = []
+        self.count: list[int] = []
+
+    def node(self) -> int:
+        self.nodes += 1
+        return self.uid << _PLACE_BITS | (self.nodes - 1)
+
+    def add(self, node: int, size: int, keys: np.ndarray, need: int, own: bool) -> None:
+        self.heads.append((node & ((1 << _PLACE_BITS) - 1), size, need, own))
+        self.keys.append(keys)
+        self.count.append(len(keys))
+        self.n += len(keys)
+
+    def rows(self, buckets: int) -> tuple[list[int], list[bytes], bytes]:
+        """(buckets, their packed entries, packed heads)."""
+        key = np.concatenate(self.keys)
+        heads = np.array([h[:3] for h in self.heads], "<u4")
+        own = np.array([h[3] for h in self.heads], "<u4")
+        signature = np.repeat(np.arange(len(self.count), dtype=np.uint32) << 1 | own, self.count)
+        bucket = (key & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, key, signature = bucket[order], (key[order] >> np.uint64(32)).astype("<u4"), signature[order]
+        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        end = np.append(at[1:], len(bucket))
+        parts = [_packed(signature[i:j], key[i:j]) for i, j in zip(at.tolist(), end.tolist(), strict=True)]
+        return bucket[at].astype(np.int32).tolist(), parts, heads.tobytes() + own.astype("u1").tobytes()
+
+
+def _packed(signature: np.ndarray, key: np.ndarray) -> bytes:
+    """Ascending signatures as differences, then the keys."""
+    step = np.diff(signature, prepend=np.uint32(0))
+    kind = "<u2" if int(step.max()) < 1 << 16 else "<u4"
+    return bytes([int(kind[-1])]) + step.astype(kind).tobytes() + key.tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = raw[0]
+    n = (len(raw) - 1) // (wide + 4)
+    step = np.frombuffer(raw, f"<u{wide}", n, 1)
+    return np.cumsum(step, dtype=np.uint32), np.frombuffer(raw, "<u4", n, 1 + wide * n)
+
+
+_SKETCHED = pa.schema([
+    ("kind", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("node", pa.int64()),
+    ("bucket", pa.int32()), ("uid", pa.int64()), ("packed", pa.binary()),
+])
+
 
+def _sketched(buckets: int, percent: int, shingle: int):
     def table(size: int, **cols) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in _SKETCHED], schema=_SKETCHED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n_held = 0
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            nonlocal n_held
-            if not held:
-                return
-            bucket = np.concatenate([h[0] for h in held])
-            entry = np.concatenate([h[1] for h in held])
-            held.clear()
-            n_held = 0
-            order = np.argsort(bucket, kind="stable")
-            bucket, entry = bucket[order], entry[order]
-            at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            parts = [pack(entry[i:j]) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)]
-            yield table(len(at), kind=["e"] * len(at), bucket=bucket[at].astype(np.int32), packed=parts)
+        known: dict[tuple[int, int], int] = {}
+        task = TaskContext.get().partitionId() << _FLUSH_BITS
+        held = _Flush(task)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held.n:
+                bucket, parts, heads = held.rows(buckets)
+                yield table(len(bucket), kind=["e"] * len(bucket), bucket=bucket, uid=[held.uid] * len(bucket), packed=parts)
+                yield table(1, kind=["h"], uid=[held.uid], packed=[heads])
+            held = _Flush(held.uid + 1)
 
         for batch in batches:
-            column, text_hash, ids = as_binary(batch.column("text")), batch.column("text_hash").to_pylist(), batch.column("doc_id").to_pylist()
+            column, text_hash, ids = as_binary(batch.column("text")), batch.column("text_hash"), batch.column("doc_id")
             for i, j in slices(column):
                 hashes, count = shingle_sets(column.slice(i, j - i), shingle)
                 end = np.cumsum(count)
                 one, two = mix(hashes), mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
                 total = np.concatenate((np.zeros((2, 1), np.uint64), np.cumsum((one, two), axis=1, dtype=np.uint64)), axis=1)
                 f1, f2 = mix(total[0][end] - total[0][end - count] + count.astype(np.uint64)), total[1][end] - total[1][end - count]
-                yield table(j - i, kind=["d"] * (j - i), text_hash=text_hash[i:j], n_shingles=count, f1=f1.view(np.int64), f2=f2.view(np.int64), doc_id=ids[i:j])
-                for r in np.flatnonzero(count >= FIRST_BAND).tolist():
+                nodes: list[int | None] = [None] * (j - i)
+                for r in np.flatnonzero(count).tolist():
                     k = (int(f1[r]), int(f2[r]))
-                    if k in seen:
-                        continue
-                    seen.add(k)
-                    size = int(count[r])
-                    for keys, counted, own in _entries(hashes[end[r] - size : end[r]], size, percent):
-                        e = np.empty(len(keys), _ENTRY)
-                        e["handle"], e["size"], e["flags"] = k[0], size, (counted << 1) + own
-                        e["key"] = keys >> np.uint64(32)
-                        held.append((((keys & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), e))
-                        n_held += len(e)
-                if n_held > HELD:
-                    yield from packed()
-        yield from packed()
+                    node = known.get(k)
+                    if node is None:
+                        node = known[k] = held.node()
+                        here = slice(end[r] - count[r], end[r])
+                        for keys, need, own in entries(hashes[here], two[here], percent):
+                            held.add(node, int(count[r]), keys, need, own)
+                    nodes[r] = node
+                yield table(j - i, kind=["d"] * (j - i), doc_id=ids.slice(i, j - i), text_hash=text_hash.slice(i, j - i), n_shingles=count, f1=f1.view(np.int64), f2=f2.view(np.int64), node=nodes)
+                if held.n > HELD or held.nodes > HELD:
+                    yield from sent()
+        yield from sent()
         pa.default_memory_pool().release_unused()
 
     return run
 
 
-def pack(entries: np.ndarray) -> bytes:
-    """Entries in class order: the heads (class, size, flags) once each, then the keys."""
-    head = np.flatnonzero(np.concatenate(([True], (entries["handle"][1:] != entries["handle"][:-1]) | (entries["flags"][1:] != entries["flags"][:-1]))))
-    count = np.diff(np.append(head, len(entries))).astype("<u2" if len(entries) < 65536 else "<u4")
-    parts = [np.array([len(head), len(entries), count.itemsize], "<u4"), entries["handle"][head], entries["size"][head], entries["flags"][head], count, entries["key"]]
-    return b"".join(p.tobytes() for p in parts)
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    heads, n, wide = np.frombuffer(raw, "<u4", 3).tolist()
-    at = 12
-    handle = np.frombuffer(raw, "<u8", heads, at)
-    size = np.frombuffer(raw, "<u4", heads, at := at + 8 * heads)
-    flags = np.frombuffer(raw, "<u4", heads, at := at + 4 * heads)
-    count = np.frombuffer(raw, f"<u{wide}", heads, at := at + 4 * heads)
-    key = np.frombuffer(raw, "<u4", n, at + wide * heads)
-    row = np.repeat(np.arange(heads), count)
-    out = np.empty(n, _ENTRY)
-    out["handle"], out["size"], out["flags"], out["key"] = handle[row], size[row], flags[row], key
-    return out
-
-
-_GROUPS = "bucket int, sizes array<int>, members binary"
+_REPLY = "kind string, uid long, node long, packed binary"
 
 
-def _chunks(bucket: int, e: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Groups of entries (sizes, one after the other) as rows; groups that cannot have a pair are left out."""
-    if not len(size):
-        return
-    at = np.cumsum(size) - size
-    owns = np.add.reduceat((e["flags"] & 1).astype(np.int64), at) if len(e) else np.zeros(0, np.int64)
-    good = (size > 1) & (owns > 0)
-    e, size = e[np.repeat(good, size)], size[good]
-    end = np.cumsum(size)
-    i = 0
-    while i < len(size):
-        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + CHUNK)))
-        yield pa.RecordBatch.from_pydict(
-            {"bucket": pa.array([bucket], pa.int32()), "sizes": pa.array([size[i:j].astype(np.int32)], pa.list_(pa.int32())), "members": pa.array([e[end[i] - size[i] : end[j - 1]].tobytes()], pa.binary())}
-        )
-        i = j
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, the groups of two or more classes with one piece; rows come sorted by bucket."""
-    held: list[np.ndarray] = []
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket, the pieces that two or more signatures have, one at least as the smaller set: to each source a
+    packed row (bucket; signatures, how many have the piece, keys).  Rows come sorted by bucket."""
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
     bucket = None
 
-    def groups() -> Iterator[pa.RecordBatch]:
-        e = np.concatenate(held)
+    def replies() -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([h[2] for h in held]).astype(np.uint64)
+        signature = np.concatenate([h[1] for h in held])
+        uid = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
         held.clear()
-        e = e[np.lexsort((e["flags"], e["handle"], e["key"]))]
-        new = np.ones(len(e), bool)  # a class that several partitions have
-        new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["handle"][1:] != e["handle"][:-1]) | (e["flags"][1:] != e["flags"][:-1])
-        e = e[new]
-        at = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
-        yield from _chunks(bucket, e, np.diff(np.append(at, len(e))))
+        order = np.sort(key << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+        key, order = order >> np.uint64(32), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(at, len(key)))
+        signature = signature[order]
+        good = (size > 1) & (np.add.reduceat((signature & 1).astype(np.int64), at) > 0)
+        keep = np.repeat(good, size)
+        uid, signature, key, size = uid[order][keep], signature[keep] >> 1, key[keep].astype("<u4"), np.repeat(size[good], size[good]).astype("<u4")
+        if not len(uid):
+            return
+        order = np.argsort(uid, kind="stable")
+        uid, signature, key, size = uid[order], signature[order], key[order], size[order]
+        at = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1])))
+        head = np.array([bucket], "<u4").tobytes()
+        parts = [head + np.concatenate((signature[i:j], size[i:j], key[i:j])).tobytes() for i, j in zip(at.tolist(), np.append(at[1:], len(uid)).tolist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(["r"] * len(at)), "uid": pa.array(uid[at]), "node": pa.nulls(len(at), pa.int64()), "packed": pa.array(parts, pa.binary())})
 
     for batch in batches:
-        packed = batch.column("packed")
-        for i, b in enumerate(batch.column("bucket").to_pylist()):
+        for b, uid, raw in zip(batch.column("bucket").to_pylist(), batch.column("uid").to_pylist(), batch.column("packed").to_pylist(), strict=True):
             if held and b != bucket:
-                yield from groups()
+                yield from replies()
             bucket = b
-            held.append(unpack(packed[i].as_buffer()))
+            held.append((uid, *_unpacked(raw)))
     if held:
-        yield from groups()
+        yield from replies()
     pa.default_memory_pool().release_unused()
 
 
-def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    sizes, members = batch.column("sizes"), batch.column("members")
-    for i in range(batch.num_rows):
-        yield np.frombuffer(members[i].as_buffer(), _ENTRY), sizes[i].values.to_numpy().astype(np.int64)
-
-
-#: g: a group, numbered so that smaller groups come first; meta: the class's size << 32 | flags.
-_MEMBERS = "g long, handle long, meta long"
-_GROUP_BITS, _MOST = 41, (1 << 22) - 1
-
+#: g: the group (bucket << 32 | key); meta: the set's size << 1 | whether it may be the smaller set there.
+_MEMBERS = "g long, node long, meta long"
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each signature that shares enough pieces, the groups to search.  Rows (heads, replies, and nodes whose
+    class another node stands for) come sorted by uid."""
+    held: dict[str, list] = {"h": [], "r": [], "x": []}
+    uid = None
+
+    def members() -> Iterator[pa.RecordBatch]:
+        raw, replies, gone = held["h"][0] if held["h"] else b"", list(held["r"]), [n & ((1 << _PLACE_BITS) - 1) for n in held["x"]]
+        for rows in held.values():
+            rows.clear()
+        if not raw or not replies:
+            return
+        n = len(raw) // 13
+        heads, own = np.frombuffer(raw, "<u4", 3 * n).reshape(n, 3).astype(np.int64), np.frombuffer(raw, "u1", n, 12 * n).astype(np.int64)
+        place, size, need = heads.T
+        parts = [np.frombuffer(r, "<u4", -1, 4).reshape(3, -1).astype(np.int64) for r in replies]
+        bucket = np.repeat([int.from_bytes(r[:4], "little") for r in replies], [p.shape[1] for p in parts])
+        signature, often, key = np.concatenate(parts, axis=1)
+        count = np.bincount(signature, minlength=n)
+        alive = (count >= need) & ~np.isin(place, gone)
+        keep = alive[signature]
+        signature, often, g = signature[keep], often[keep], (bucket << 32 | key)[keep]
+        order = np.lexsort((g, often, signature))
+        signature, g = signature[order], g[order]
+        count = np.bincount(signature, minlength=n)
+        rank = np.arange(len(signature)) - (np.cumsum(count) - count)[signature]
+        first = rank <= (count - need)[signature]
+        s = signature[first]
+        yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(uid << _PLACE_BITS | place[s]), pa.array(size[s] << 1 | own[s])], ["g", "node", "meta"])
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each class in each group."""
     for batch in batches:
-        for (e, size), bucket in zip(_read(batch), batch.column("bucket").to_pylist(), strict=True):
-            g = np.repeat(np.minimum(size, _MOST), size) << _GROUP_BITS | np.int64(bucket) << 32 | e["key"].astype(np.int64)
-            yield _member_batch(g, e)
-
-
-def _member_batch(g: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-    meta = e["size"].astype(np.int64) << 32 | e["flags"].astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.ascontiguousarray(e["handle"]).view(np.int64)), pa.array(meta)], ["g", "handle", "meta"])
-
-
-def _repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, handle, meta) sorted by g to groups again."""
-    held: list[tuple] = []
-    last = None
-
-    def close() -> Iterator[pa.RecordBatch]:
-        g, handle, meta = (np.array(c, np.int64) for c in zip(*held, strict=True))
-        e = np.zeros(len(held), _ENTRY)
-        e["handle"], e["size"], e["flags"] = handle.view(np.uint64), meta >> 32, meta & 0xFFFFFFFF
-        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        held.clear()
-        yield from _chunks(0, e, np.diff(np.append(at, len(e))))
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("g", "handle", "meta")), strict=True):
-            if len(held) >= CHUNK and row[0] != last:
-                yield from close()
-            last = row[0]
-            held.append(row)
-    if held:
-        yield from close()
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``_members``, for groups without keys: numbered by a hash of their chunk and their place in it."""
-    for batch in batches:
-        for (e, size), members in zip(_read(batch), batch.column("members").to_pylist(), strict=True):
-            chunk = int.from_bytes(blake2b(members, digest_size=5).digest(), "little") << 23
-            yield _member_batch(np.repeat(chunk + np.arange(len(size)), size), e)
-
-
-def _needed(percent: int) -> Column:
-    """How many pieces a class must share with any partner: as the smaller set its bound is wider."""
-    wide = F.expr(f"(size + size + size div 4) * {100 - percent} div {100 + percent}")
-    near = F.expr(f"2 * size * {100 - percent} div {100 + percent}")
-    return F.greatest(F.lit(1).cast("long"), F.expr("flags div 2") - F.when(F.col("flags") % 2 == 1, wide).otherwise(near))
-
-
-def _signatures(groups: DataFrame, percent: int) -> DataFrame:
-    """(handle, size, flags, need, gs): the groups of each class that may have a partner, smallest groups first."""
-    listed = groups.mapInArrow(_members, _MEMBERS).groupBy("handle", "meta").agg(F.collect_list("g").alias("gs"))
-    listed = listed.select("handle", F.expr("shiftright(meta, 32)").alias("size"), F.expr("meta & 4294967295").alias("flags"), "gs").withColumn("need", _needed(percent))
-    return written(listed.filter(F.size("gs") >= F.col("need")).withColumn("gs", F.array_sort("gs")), "signatures")
-
-
-def _prefixed(signatures: DataFrame) -> DataFrame:
-    """Groups by the first pieces of each class alone: all but the last need - k, k being ``MEET`` or need if that is
-    less.  Of the groups that two classes share, ``need`` of either at least, the first k are then in both lists, as both
-    list them in one order; flags: k << 1 | own."""
-    spark = signatures.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = F.least(F.lit(MEET), F.col("need"))
-    first = F.slice("gs", F.lit(1), (F.size("gs") - F.col("need") + k).cast("int"))
-    rows = signatures.select(F.explode(first).alias("g"), "handle", (F.expr("shiftleft(size, 32)") + k * 2 + F.col("flags") % 2).alias("meta"))
-    return written(rows.repartition(n, "g").sortWithinPartitions("g", "handle").mapInArrow(_repacked, _GROUPS), "prefixes")
-
-
-def _alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs that share enough groups, by their whole lists; pairs: x, y and one of the schemes where they met."""
-    a = signatures.select(F.col("handle").alias("x"), F.col("gs").alias("gx"), F.col("need").alias("nx"), (F.col("flags") % 2 == 1).alias("ox"), F.col("size").alias("sx"))
-    b = signatures.select(F.col("handle").alias("y"), F.col("gs").alias("gy"), F.col("need").alias("ny"), (F.col("flags") % 2 == 1).alias("oy"), F.col("size").alias("sy"))
-    both = pairs.join(a, "x").join(b, "y").filter("ox or oy")
-    return both.filter(F.size(F.array_intersect("gx", "gy")) >= F.greatest("nx", "ny")).select("x", "y").distinct()
-
-
-_PAIRS = "x long, y long, n long, k long"
-
-
-def _pair_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """Pairs of entries to counted rows, smaller handle first; k: in how many groups the two must meet."""
-    low, high = np.minimum(x["handle"], y["handle"]), np.maximum(x["handle"], y["handle"])
-    order = np.lexsort((high, low))
-    low, high, k = low[order], high[order], (np.minimum(x["flags"], y["flags"]) >> 1).astype(np.int64)[order]
-    new = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, int)
-    n = np.diff(np.append(new, len(low)))
-    return pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64)), pa.array(high[new].view(np.int64)), pa.array(n), pa.array(k[new])], ["x", "y", "n", "k"])
+        for kind, u, node, raw in zip(*(batch.column(c).to_pylist() for c in ("kind", "uid", "node", "packed")), strict=True):
+            if uid is not None and u != uid:
+                yield from members()
+            uid = u
+            held[kind].append(node if kind == "x" else raw)
+    if uid is not None:
+        yield from members()
+    pa.default_memory_pool().release_unused()
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+def _may_link(size_a: np.ndarray, own_a: np.ndarray, size_b: np.ndarray, own_b: np.ndarray, percent: int) -> np.ndarray:
     """One of the two may be the smaller set here, and the sizes are near enough."""
-    small, large = np.minimum(a["size"], b["size"]).astype(np.int64), np.maximum(a["size"], b["size"]).astype(np.int64)
-    return (a["handle"] != b["handle"]) & ((a["flags"] | b["flags"]) & 1 == 1) & (small * 100 >= large * percent)
+    return ((own_a | own_b) > 0) & (np.minimum(size_a, size_b) * 100 >= np.maximum(size_a, size_b) * percent)
 
 
 def _stars(percent: int):
-    """In each group, the pairs of its first class with the others."""
+    """In each group, the pairs of its first node with the others; rows come sorted by group, of which only the first
+    is held.  n: how often the pair is met in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for e, size in _read(batch):
-                x = e[np.repeat(np.cumsum(size) - size, size)]
-                ok = _may_link(x, e, percent)
-                yield _pair_batch(x[ok], e[ok])
+            g, node, meta = (batch.column(c).to_numpy() for c in ("g", "node", "meta"))
+            if not len(g):
+                continue
+            if last is not None and last[0] == g[0]:
+                g, node, meta = (np.concatenate(([v], a)) for v, a in zip(last, (g, node, meta), strict=True))
+            at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            first = np.repeat(at, np.diff(np.append(at, len(g))))
+            last = (g[at[-1]], node[at[-1]], meta[at[-1]])
+            ok = (node[first] != node) & _may_link(meta[first] >> 1, meta[first] & 1, meta >> 1, meta & 1, percent)
+            x, y = node[first][ok], node[ok]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new]), pa.array(np.diff(np.append(new, len(x))))], ["x", "y", "n"])
 
     return run
 
 
-def _across(labels: tuple[np.ndarray, np.ndarray], percent: int):
-    """In each group, the pairs of classes of different components.  labels: class handles, sorted, and their components."""
-    known, component = labels
-
-    def component_of(handle: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return handle
-        at = np.minimum(np.searchsorted(known, handle), len(known) - 1)
-        return np.where(known[at] == handle, component[at], handle)
+_CELL = ["g", "i", "j", "node", "component", "meta", "block", "sketch"]
+
+
+def _within(percent: int, nearest: bool):
+    """Rows of cells (blocks i and j of a group; sorted so): pairs of nodes of different components whose narrow sketches
+    are within the bound, n being their Hamming distance; with ``nearest``, for each node only the nearest."""
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, i, j, *_ = rows[0]
+        node, component, meta, block = (np.array([r[k] for r in rows], np.int64) for k in range(3, 7))
+        sketch = folded([r[7] for r in rows])
+        size, own = meta >> 1, meta & 1
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        partner = np.full(len(rows), -1)
+        for a in range(len(rows) - 1):
+            b = np.arange(a + 1, len(rows))
+            ok = (component[b] != component[a]) & _may_link(size[b], own[b], size[a], own[a], percent)
+            if i != j:
+                ok &= block[b] != block[a]
+            b = b[ok]
+            if not len(b):
+                continue
+            distance = np.bitwise_count(sketch[b] ^ sketch[a]).sum(axis=1, dtype=np.int64)
+            near = distance <= bound(size[b], size[a], percent)
+            b, distance = b[near], distance[near]
+            if not len(b):
+                continue
+            if nearest:
+                better = distance < least[b]
+                least[b[better]], partner[b[better]] = distance[better], a
+                k = int(distance.argmin())
+                if distance[k] < least[a]:
+                    least[a], partner[a] = distance[k], b[k]
+            else:
+                yield np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), distance
+        some = partner >= 0
+        if some.any():
+            yield node[some], node[partner[some]], least[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_found = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal n_found
+            if found:
+                x, y, n = map(np.concatenate, zip(*found, strict=True))
+                order = np.lexsort((n, y, x))
+                x, y, n = x[order], y[order], n[order]
+                new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new]), pa.array(n[new])], ["x", "y", "n"])
+            found.clear()
+            n_found = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal n_found
+            for some in pairs(held):
+                found.append(some)
+                n_found += len(some[0])
+                if n_found > HELD:
+                    yield from sent()
+            held.clear()
+
         for batch in batches:
-            for e, size in _read(batch):
-                c = component_of(e["handle"])
-                end = np.cumsum(size)
-                at = end - size
-                mixed = np.flatnonzero(np.add.reduceat((c != c[np.repeat(at, size)]).astype(np.int64), at) > 0) if len(at) else at
-                xs, ys, n = [], [], 0
-                for g in mixed.tolist():
-                    i = np.arange(at[g], end[g])
-                    for k in range(1, len(i)):  # each class with the k-th after it
-                        a, b = i[:-k], i[k:]
-                        ok = (c[a] != c[b]) & _may_link(e[a], e[b], percent)
-                        xs.append(a[ok])
-                        ys.append(b[ok])
-                        n += len(xs[-1])
-                    if n > 500_000:
-                        yield _pair_batch(e[np.concatenate(xs)], e[np.concatenate(ys)])
-                        xs, ys, n = [], [], 0
-                if n:
-                    yield _pair_batch(e[np.concatenate(xs)], e[np.concatenate(ys)])
+            for row in zip(*(batch.column(c).to_pylist() for c in _CELL), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield from close()
+                held.append(row)
+        if held:
+            yield from close()
+        yield from sent()
 
     return run
 
 
-def _compared(percent: int, shingle: int):
-    """Rows x, y and their texts to the pairs that link."""
+def _compared(percent: int):
+    """Rows x, y and their sets to the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
-
-        def set_of(handle: int, text: str) -> np.ndarray:
-            if handle not in last:
-                if len(last) > 64:
-                    last.clear()
-                last[handle] = shingle_sets(as_binary(pa.array([text], pa.string())), shingle)[0]
-            return last[handle]
-
         for batch in batches:
-            x, y, keep = batch.column("x").to_pylist(), batch.column("y").to_pylist(), []
-            for i, (a, b, s, t) in enumerate(zip(x, y, batch.column("text_x").to_pylist(), batch.column("text_y").to_pylist(), strict=True)):
-                s, t = set_of(a, s), set_of(b, t)
+            keep = []
+            for i, (s, t) in enumerate(zip(batch.column("set_x").to_pylist(), batch.column("set_y").to_pylist(), strict=True)):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_pydict({"x": pa.array([x[i] for i in keep], pa.int64()), "y": pa.array([y[i] for i in keep], pa.int64())})
+            yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def _laid_out(shingle: int):
+    """Rows node, text to the node's real set and its narrow sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, node = as_binary(batch.column("text")), batch.column("node")
+            for i, j in slices(column):
+                hashes, count = shingle_sets(column.slice(i, j - i), shingle)
+                sets = np.split(hashes, np.cumsum(count)[:-1])
+                yield pa.RecordBatch.from_arrays([node.slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([narrow(s).tobytes() for s in sets], pa.binary())], ["node", "hashes", "sketch"])
 
     return run
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the least node reachable by links (x, y).  Labels are hooked and halved until none changes."""
+    spark = links.sparkSession
     edges = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), name)
-    label = written(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("component")).withColumnRenamed("x", "node"), name)
+    path = new_path(spark, name)
+    label = written(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("component")).withColumnRenamed("x", "node"), name, path)
     while True:
         near = edges.join(label, edges["y"] == label["node"]).groupBy("x").agg(F.min("component").alias("_near"))
         step = label.join(near, label["node"] == near["x"]).select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
         up = label.select(F.col("node").alias("_up"), F.col("component").alias("_far"))
         step = step.join(up, step["component"] == up["_up"], "left")
-        step = written(step.select("node", "_old", F.least("component", F.coalesce("_far", F.col("component"))).alias("component")), name)
+        old, path = path, new_path(spark, name)
+        step = written(step.select("node", "_old", F.least("component", F.coalesce("_far", F.col("component"))).alias("component")), name, path)
+        drop(spark, old)
         changed = not step.filter("_old <> component").isEmpty()
         label = step.select("node", "component")
         if not changed:
             return label
 
 
-def _text_hash() -> Column:
-    return F.xxhash64("text").alias("text_hash")
+def _sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes, sketch) of the nodes asked for: a class's set is that of one of its texts."""
+    wanted = written(nodes.join(classes.select("node", "one"), "node").select("node", F.col("one.text_hash").alias("_h"), F.col("one.doc_id").alias("_d")), "wanted")
+    same = (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    texts = join_small(rows, wanted, same, "inner").select("node", "text")
+    return written(texts.mapInArrow(_laid_out(shingle), "node long, hashes binary, sketch binary").dropDuplicates(["node"]), "class-sets")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs (x, y) of class handles whose real sets link; a class's set is that of one of its texts."""
-    spark = pairs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = pairs.select(F.col("x").alias("f1")).unionByName(pairs.select(F.col("y").alias("f1"))).distinct()
-    wanted = written(nodes.join(classes, "f1").select(F.col("f1").alias("_f1"), "one"), "wanted")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash())
-    same = (F.col("text_hash") == F.col("one.text_hash")) & F.col("doc_id").eqNullSafe(F.col("one.doc_id"))
-    texts = written(join_small(texts, wanted, same, "inner").select("_f1", "text"), "class-texts")
-    tx = texts.select(F.col("_f1").alias("x"), F.col("text").alias("text_x"))
-    ty = texts.select(F.col("_f1").alias("y"), F.col("text").alias("text_y"))
-    both = pairs.select("x", "y").join(tx, "x").join(ty, "y").repartition(n, "x", "y").sortWithinPartitions("x")
-    return written(both.mapInArrow(_compared(percent, shingle), "x long, y long"), "links")
-
-
-def _pairs_across(found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Counted pairs across components: labels are given to all tasks if they are few; beyond, groups of one component are dropped by joins."""
-    spark = groups.sparkSession
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        rows = found.toPandas()
-        handle = rows["node"].to_numpy(np.int64).view(np.uint64)
-        component = rows["component"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(handle)
-        return groups.mapInArrow(_across((handle[order], component[order]), percent), _PAIRS)
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of nodes whose real sets link."""
+    x = sets.select(F.col("node").alias("x"), F.col("hashes").alias("set_x"))
+    y = sets.select(F.col("node").alias("y"), F.col("hashes").alias("set_y"))
+    return written(pairs.select("x", "y").join(x, "x").join(y, "y").mapInArrow(_compared(percent), "x long, y long"), "links", rows=200)
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of groups that have several components, with them, and how many nodes the group has."""
+    rows = join_small(members.select("g", "node", "meta"), found, "node").withColumn("component", F.coalesce("component", "node"))
+    rows = written(rows, "members")
+    several = rows.groupBy("g").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("nodes")).filter("_a <> _b")
+    return written(join_small(rows, written(several.select("g", "nodes"), "mixed"), "g", "inner"), "mixed-members")
+
+
+def _near_pairs(rows: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Counted pairs across components within the bound; groups beyond ``SPLIT`` nodes are dealt out as pairs of blocks."""
+    spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = groups.mapInArrow(_numbered, _MEMBERS)
-    members = written(members.join(found.withColumnRenamed("node", "handle"), "handle", "left").withColumn("c", F.coalesce("component", "handle")), "group-members")
-    mixed = members.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("g")
-    rest = members.join(mixed, "g", "left_semi").select("g", "handle", "meta").repartition(n, "g").sortWithinPartitions("g", "handle")
-    empty = np.zeros(0, np.uint64)
-    pairs = rest.mapInArrow(_repacked, _GROUPS).mapInArrow(_across((empty, empty), percent), _PAIRS)
-    own = found.select(F.col("node").alias("_n"), "component")
-    pairs = pairs.join(own.withColumnsRenamed({"_n": "x", "component": "cx"}), "x", "left").join(own.withColumnsRenamed({"_n": "y", "component": "cy"}), "y", "left")
-    return pairs.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y", "n", "k")
+    blocks = F.ceil(F.col("nodes") / SPLIT)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")})
+    rows = rows.join(sets.select("node", "sketch"), "node").select(*_CELL)
+    return rows.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_within(percent, nearest), _PAIRS)
+
+
+def _named(ends: DataFrame, best: Column) -> DataFrame:
+    """One pair for each node: the best one; ends: node, x, y and what ``best`` compares."""
+    pairs = ends.groupBy("node").agg(best.alias("_p")).select(F.least("_p.x", "_p.y").alias("x"), F.greatest("_p.x", "_p.y").alias("y"))
+    return pairs.distinct()
 
 
 def linked(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of documents: doc_id, n_shingles, component_id, and links (classes of other sets that its set
-    was found to link with when components were formed; not all links inside a component are compared)."""
+    """One row per row of documents: doc_id, n_shingles, component_id."""
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash())
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     path = new_path(spark, "sketches")
     made = written(rows.mapInArrow(_sketched(BUCKETS * n, percent, shingle), _SKETCH), "sketches", path)
-    base = made.filter("kind = 'd'").select("doc_id", "n_shingles", "f1", "f2", "text_hash")
-    classes = written(base.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("one"), F.count("*").alias("copies")), "classes")
-    sent = made.filter("kind = 'e'").select("bucket", "packed").repartition(n, "bucket").sortWithinPartitions("bucket")
-    groups = written(sent.mapInArrow(_grouped, _GROUPS), "groups")
-    base = written(base, "sets")
+    base = made.filter("kind = 'd'").select("doc_id", "n_shingles", "f1", "f2", "node", "text_hash")
+    nodes = base.filter("n_shingles > 0").groupBy("node", "f1", "f2").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("one"), F.count("*").alias("copies"))
+    nodes = written(nodes, "nodes")
+    classes = nodes.groupBy("f1", "f2").agg(F.min("node").alias("node"), F.min("least").alias("least"), F.min("one").alias("one"), F.sum("copies").alias("copies"), F.count("*").alias("nodes"))
+    classes = written(classes, "classes")
+    base = written(base.select("doc_id", "n_shingles", "f1", "f2"), "sets")
+
+    sent = made.filter("kind = 'e'").select("bucket", "uid", "packed").repartition(n, "bucket").sortWithinPartitions("bucket")
+    none = F.lit(None)
+    double = nodes.join(classes.filter("nodes > 1").select("f1", "f2", F.col("node").alias("_first")), ["f1", "f2"]).filter("node <> _first")
+    double = double.select(F.lit("x").alias("kind"), F.shiftright("node", _PLACE_BITS).alias("uid"), "node", none.cast("binary").alias("packed"))
+    heads = made.filter("kind = 'h'").select("kind", "uid", none.cast("long").alias("node"), "packed")
+    replies = sent.mapInArrow(_shared, _REPLY).unionByName(heads).unionByName(double)
+    members = written(replies.repartition(n, "uid").sortWithinPartitions("uid").mapInArrow(_listed, _MEMBERS), "listed")
     drop(spark, path)
-    signatures = _signatures(groups, percent)
-    groups = _prefixed(signatures)
-    stars = groups.mapInArrow(_stars(percent), _PAIRS).groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+    stars = members.repartition(n, "g").sortWithinPartitions("g", "node").mapInArrow(_stars(percent), _PAIRS)
+    stars = written(stars.groupBy("x", "y").agg(F.sum("n").alias("n")), "stars")
     ends = stars.select(F.col("x").alias("node"), "x", "y", "n").unionByName(stars.select(F.col("y").alias("node"), "x", "y", "n"))
-    first = ends.groupBy("node").agg(F.max(F.struct("n", F.col("x").alias("x"), F.col("y").alias("y"))).alias("p"))
-    first = written(_alike(first.select("p.x", "p.y").distinct(), signatures), "first-pairs")
-    links = _verified(first, classes, documents, percent, shingle)
+    sets = _sets(members.select("node").distinct(), classes, rows, shingle)
+    first = written(_named(ends, F.max(F.struct("n", "x", "y"))), "first-pairs")
+    links = _verified(first, sets, percent)
     found = components(links)
-    second = _pairs_across(found, groups, percent).groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("k").alias("k"))
-    second = written(second.filter("n >= k").select("x", "y").join(first, ["x", "y"], "left_anti"), "met")
-    second = written(_alike(second, signatures), "second-pairs")
-    if not second.isEmpty():
-        links = links.unionByName(_verified(second, classes, documents, percent, shingle))
+
+    mixed = _mixed(members, found)
+    near = _near_pairs(mixed, sets, percent, nearest=True)
+    named = written(_named(near.withColumn("node", F.col("x")), F.min(F.struct("n", "x", "y"))), "named")
+    if not named.isEmpty():
+        second = written(named.join(first, ["x", "y"], "left_anti"), "second-pairs")
+        links = links.unionByName(_verified(second, sets, percent))
         found = components(links)
-    node = classes.join(found, classes["f1"] == found["node"], "left").select("f1", "f2", "least", "copies", F.coalesce("component", "f1").alias("component"))
-    node = written(node, "nodes")
+        third = _near_pairs(_mixed(mixed, found), sets, percent, nearest=False).select("x", "y").distinct()
+        third = written(third.join(first.unionByName(second), ["x", "y"], "left_anti"), "third-pairs")
+        if not third.isEmpty():
+            links = links.unionByName(_verified(third, sets, percent))
+            found = components(links)
+
+    node = classes.join(found, "node", "left").select("f1", "f2", "least", "copies", F.coalesce("component", "node").alias("component"))
+    node = written(node, "labels")
     least = node.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
     node = node.join(least, "component").filter("sets > 1 or copies > 1").select("f1", "f2", "component_id")
-    out = join_small(base, written(node, "members"), ["f1", "f2"])
+    out = join_small(base, written(node, "component-ids"), ["f1", "f2"])
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

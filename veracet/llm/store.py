@@ -69,11 +69,11 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+def written(df: DataFrame, name: str, path: str | None = None, rows: int = ARROW_ROWS) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor.  rows: see ``small_batches``."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    with small_batches(spark):
+    with small_batches(spark, rows):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
