@@ -365,15 +365,73 @@ def test_perplexity_base_rules(docs, empty):
     assert perplexity.judged(empty).collect() == []
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    data = np.frombuffer(b"the cat sat on the mat and the dog sat on the log with a cat " * 20, np.uint8)
-    code, count = np.unique(perplexity.codes(data), return_counts=True)
-    model = perplexity.Model.fitted(code, count)
-    for context in (code[:40] >> perplexity.SYMBOL_BITS).tolist() + [12345]:
-        every = (context << perplexity.SYMBOL_BITS) + np.arange(perplexity.SYMBOLS)
-        assert model.probability(every).sum() == pytest.approx(1, abs=1e-6)
-    again = perplexity.Model.from_rows(model.to_rows("x").to_dict("records"))
-    assert np.array_equal(again.probability(code), model.probability(code))
+def kneser_ney(texts, order):
+    """p(n-gram) of the last byte after the others, by recursion over plain dictionaries."""
+    levels = [collections.Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))]
+    for _ in range(order - 1):
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    levels.reverse()
+    cuts = []
+    for level in levels:
+        n1, n2, n3, n4 = (sum(c == k for c in level.values()) for k in (1, 2, 3, 4))
+        if n1 and n2 and n3:
+            y = n1 / (n1 + 2 * n2)
+            cuts.append([0, *(min(max(d, 0.05), m) for d, m in zip((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), (0.95, 1.9, 2.9), strict=True))])
+        else:
+            cuts.append([0, 0.5, 0.75, 0.9])
+    followers = [collections.defaultdict(list) for _ in levels]
+    for level, lists in zip(levels, followers, strict=True):
+        for g, c in level.items():
+            lists[g[:-1]].append(c)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        level, cut, after = levels[len(g) - 1], cuts[len(g) - 1], followers[len(g) - 1].get(g[:-1])
+        if not after:
+            return p(g[1:])
+        c = level.get(g, 0)
+        return (c - cut[min(c, 3)] + sum(cut[min(x, 3)] for x in after) * p(g[1:])) / sum(after)
+
+    return p
+
+
+@pytest.mark.parametrize("shard", [3_000_000, 1500])
+def test_perplexity_is_that_of_the_other_half(spark, docs, monkeypatch, shard):
+    if shard == 1500:
+        monkeypatch.setattr(perplexity, "PACKED", 700)
+    rows = docs.filter("doc_id < 4 or doc_id > 58" if shard == 1500 else "true")
+    half = {r["text"]: r["h"] for r in rows.select("text", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)).alias("h")).collect()}
+    got = perplexity.scored(rows, shard).collect()
+    rows = rows.collect()
+    assert len(got) == len(rows)
+    clean = {t: b" ".join(words_of(t)) for t in half}
+    model = {}
+    for lang in {r["lang"] for r in rows}:
+        for h in (0, 1):
+            model[lang or "", h] = kneser_ney([clean[r["text"]] for r in rows if r["lang"] == lang and half[r["text"]] == h], perplexity.ORDER)
+    want = []
+    for r in rows:
+        t, p, n = clean[r["text"]], model[r["lang"] or "", 1 - half[r["text"]]], perplexity.ORDER
+        bits = [-np.log2(p(t[i : i + n])) for i in range(len(t) - n + 1)]
+        want.append((r["doc_id"], *((sum(bits) / len(bits), sum(bits) / len(words_of(r["text"]))) if bits else (None, None))))
+    for g, w in zip(by_id((r["doc_id"], r["bits_per_byte"], r["bits_per_word"]) for r in got), by_id(want), strict=True):
+        assert g[0] == w[0]
+        assert (g[1] is None) == (w[1] is None)
+        if g[1] is not None:
+            assert g[1:] == pytest.approx(w[1:], abs=0.02)
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = [("the cat sat on the mat and the dog sat on the log with a cat " * 5 + str(i), "xx", i % 2) for i in range(6)]
+    model = perplexity.train(spark.createDataFrame(texts, "text string, lang string, half int")).collect()
+    for h in (0, 1):
+        sums = collections.Counter()
+        for r in model:
+            if r[f"c{1 - h}"] or r[f"c{h}"]:
+                sums[r["code"] >> 8] += r[f"p{h}"]
+        seen = {r["code"] >> 8 for r in model if r[f"c{h}"]}
+        assert seen and all(0.5 < sums[c] <= 1 + 1e-9 for c in seen)
 
 
 def test_perplexity_rejects_noise_and_keeps_text(spark):

@@ -29,6 +29,29 @@ def test_perplexity_rejects_salted_and_degenerate_text(spark):
     assert [i for i, r in out.items() if r["kept"] and 1000 <= i < 4000] == []
 
 
+def test_perplexity_rejects_shuffled_words_and_noise_in_every_language(spark):
+    """Phrases in a fixed order stay; the same words in any order, and noise, go."""
+    rng = random.Random(8)
+    rows, bad = [], set()
+    for k, lang in enumerate(["aa", "bb", "cc"]):
+        letters = ("abcdefghijklm", "nopqrstuvwxyz", "aeioustrnlmdp")[k]
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(200)]
+        phrases = [rng.sample(words, 6) for _ in range(300)]
+        for i in range(250):
+            text = [w for phrase in rng.sample(phrases, 20) for w in phrase]
+            rows.append((1000 * k + i, " ".join(text), lang))
+        for i in range(250, 256):
+            text = rng.choices(words, k=120)
+            rows.append((1000 * k + i, " ".join(text), lang))
+            bad.add(1000 * k + i)
+        for i in range(256, 262):
+            rows.append((1000 * k + i, " ".join("".join(rng.choices(letters + "0123456789", k=7)) for _ in range(90)), lang))
+            bad.add(1000 * k + i)
+    out = perplexity.judged(spark.createDataFrame(rows, DOCS)).collect()
+    assert not any(r["base_failed"] for r in out)
+    assert {r["doc_id"] for r in out if not r["kept"]} == bad
+
+
 def test_every_linker_of_a_blocked_host_is_blocked(spark):
     bad, fine = '<a href="http://evil.net/x">x</a>', "".join(f'<a href="http://calm{i}.example/x">x</a>' for i in range(9))
     rows = [("http://evil.net/x", ""), *[(f"http://ring{i}.example/a", bad) for i in range(5)], ("http://hub.example/a", bad + fine), *[(f"http://calm{i}.example/a", "") for i in range(9)]]

@@ -1,18 +1,26 @@
 """Quality rules by n-gram perplexity, with simple base rules before.
 
-The model is a modified Kneser-Ney one over ``ORDER`` neighbouring symbols, one for each language (the lang
-column).  A text's words, joined by single spaces, are folded to ``SYMBOLS`` symbols byte by byte; the n-grams of
-all documents are counted (in each partition first, then by a grouped sum in Spark), and each language's counts become the
-model in one task: there are at most SYMBOLS ** ORDER of them, whatever the corpus.  For each order it is a sorted
-array of n-gram codes with their probabilities, and one of contexts with their back-off weights.
-
-A document has two scores: its bits per symbol (log2 of the perplexity), and the bits that its signs cost per word, as a
-text salted with signs pays for them what its letters save.  Each language's scores are counted in bins of
-1 / ``BINS`` bit over all documents that pass the base rules; q1 and q3 being the quartiles, those whose bits per symbol
-are outside [q1 - LOW_SPAN * (q3 - q1), q3 + SPAN * (q3 - q1)] (a spread below ``LEAST_SPREAD`` counts as that), or
-whose sign bits are above q3 + SPAN * (q3 - q1) (likewise, ``LEAST_SIGN_SPREAD``), are rejected.
-
-Defined results: null text has no words and fails the base rules; a text of fewer than ORDER symbols has no score
+The model is a modified Kneser-Ney one over ``ORDER`` neighbouring bytes of a text's words, joined by single spaces and
+otherwise unchanged; each language (the lang column) has two, one of each half of its documents (by a hash of the
+text, so that copies share a half).  A document is scored by the model of the half where it isn't, so no text vouches for itself.
+
+1. The n-grams of all documents are counted, in each partition first, then by a grouped sum, into sorted tables that
+   grow with the corpus: a row for each language and n-gram with its count in either half.  An n-gram of five bytes is
+   its own 64-bit code, so no two share a cell.
+2. Order by order, in Spark: the counts of a lower order are the numbers of different bytes before it; totals of a context are
+   window sums over its at most 256 n-grams; a probability is what discounts leave of the count, and the rest of the
+   context's mass times the lower order's probability, joined by suffix.
+3. The n-grams of a half with their bits by the other half's model are packed to sorted arrays of codes and bits, in rows
+   of at most ``PACKED`` n-grams.  They are given to all tasks in shards of at most ``SHARD`` n-grams, and each shard's
+   languages are read once for it; texts look their n-grams up by binary search, and the shards' sums are added.
+
+A document has two scores, both logarithms of perplexities: its bits per byte, and its bits per word.  Each language's scores
+are counted in bins over all documents that pass the base rules, and a score is rejected outside
+[median - LOW_SPAN * (median - q10), median + HIGH_SPAN * (q90 - median)] in bits per byte (below is text that repeats
+itself, above is noise), or above median + WORD_SPAN * (q90 - median) in bits per word (words salted with signs or mixed with
+noise); no width counts as less than ``LEAST_WIDTH`` of the median.
+
+Defined results: null text has no words and fails the base rules; a text of fewer than ORDER bytes has no score
 and isn't rejected by the bands; null languages are one language; repeated rows count each; an empty table gives an empty
 result; columns other than doc_id, text and lang are ignored.
 """
@@ -22,59 +30,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracet.llm.store import join_small, written
 from veracet.llm.words import Words, as_binary, mix, row_of, slices, split_words, spread
 
-ORDER = 4
-SYMBOL_BITS = 5
-SYMBOLS = 1 << SYMBOL_BITS
-BINS = 100
-#: Chosen from scores measured on sf0.1 (README): texts in two languages stay, salted and degenerate ones don't.
-SPAN = 10.0
-LOW_SPAN = 4.0
-LEAST_SPREAD = 0.05
-LEAST_SIGN_SPREAD = 0.31
+ORDER = 5
+BINS = 200
+#: Chosen from the scores of labelled documents of sf0.1 (README).
+LOW_SPAN = 6.0
+HIGH_SPAN = 12.0
+WORD_SPAN = 4.0
+LEAST_WIDTH = 0.02
 MIN_WORDS = 50
-#: Languages whose counts a task holds before it sends them on.
-HELD_LANGUAGES = 16
+#: N-grams that a task holds before it sends their counts on.
+HELD = 2_000_000
+#: N-grams of a packed row, and of a shard that all tasks are given (12 bytes each).
+PACKED = 500_000
+SHARD = 3_000_000
+#: Positions of n-grams that are looked up at once; a code and a position fill 64 bits.
+_AT_ONCE = 1 << (64 - 8 * ORDER)
 
-_SPACE, _DIGIT, _STOP, _SIGN, _WIDE, _CAPITAL = 0, 27, 28, 29, 30, 31
-
-
-def _folding() -> np.ndarray:
-    fold = np.full(256, _SIGN, np.uint8)
-    fold[0x20] = _SPACE
-    for i in range(26):
-        fold[65 + i] = fold[97 + i] = 1 + i
-    fold[48:58] = _DIGIT
-    fold[[0x2C, 0x2E]] = _STOP
-    fold[0x80:0xC0] = 1 + np.arange(64) % 26  # what follows the first byte of a wide character
-    fold[0xC0:] = _WIDE
-    return fold
-
-
-_FOLD = _folding()
 _SYMBOL_SIGNS = np.zeros(256, bool)
 _SYMBOL_SIGNS[list(b"#*$%&|<>")] = True
 
 
 def codes(data: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The code of the n-gram that begins at each byte; a capital after a letter is a symbol of its own."""
-    symbol = _FOLD[data]
-    capital = (data >= 65) & (data <= 90)
-    letter = (symbol >= 1) & (symbol <= 26)
-    symbol[1:][capital[1:] & letter[:-1]] = _CAPITAL
+    """The code of the n-gram that begins at each byte."""
     n = len(data) - order + 1
     if n <= 0:
-        return np.zeros(0, np.int32)
-    out = symbol[:n].astype(np.int32)
-    for i in range(1, order):
-        out = (out << SYMBOL_BITS) | symbol[i : i + n]
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(order):
+        out <<= np.uint64(8)
+        out |= data[i : i + n]
     return out
 
 
@@ -88,123 +79,173 @@ def _extent(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, end
 
 
-def _languages(column: pa.Array) -> list[str]:
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
-def _counting(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-
-        def send() -> Iterator[pa.RecordBatch]:
-            for lang, count in held.items():
-                some = np.flatnonzero(count)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "code": pa.array(some.astype(np.int32)), "n": pa.array(count[some])})
-            held.clear()
-
-        for batch in batches:
-            column, langs = as_binary(batch.column("text")), np.array(_languages(batch.column("lang")), object)
-            for i, j in slices(column):
-                words = split_words(column.slice(i, j - i))
-                code = codes(words.data, order)
-                begin, end = _extent(words, order)
-                for lang in set(langs[i:j]):
-                    mine = np.flatnonzero(langs[i:j] == lang)
-                    edge = np.zeros(len(code) + 1, np.int32)
-                    np.add.at(edge, begin[mine], 1)
-                    np.add.at(edge, end[mine], -1)
-                    got = np.bincount(code[np.cumsum(edge[:-1]) > 0], minlength=1 << (order * SYMBOL_BITS))
-                    if lang in held:
-                        held[lang] += got
-                    elif got.any():
-                        if len(held) >= HELD_LANGUAGES:
-                            yield from send()
-                        held[lang] = got
-        yield from send()
-
-    return run
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray, pa.Array]]:
+    """(language, half, rows, texts) of a batch, in slices."""
+    column = as_binary(batch.column("text"))
+    key = np.array([f"{half}{lang}" for lang, half in zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True)], object)
+    for k in sorted(set(key)):
+        rows = np.flatnonzero(key == k)
+        mine = column.take(pa.array(rows))
+        for i, j in slices(mine):
+            yield k[1:], int(k[0]), rows[i:j], mine.slice(i, j - i)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts, one row for each code, ascending."""
+    code, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], count[order]
+    at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    return code[at], np.add.reduceat(count, at) if len(at) else count
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    n_held = 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (lang, half), parts in held.items():
+            code, count = _summed(parts)
+            counts = [count, np.zeros_like(count)][:: -1 if half else 1]
+            for a in range(0, len(code), 100_000):
+                cols = [x[a : a + 100_000] for x in (code.view(np.int64), *counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cols[0]), pa.string()), *map(pa.array, cols)], ["lang", "code", "c0", "c1"])
+        held.clear()
+
+    for batch in batches:
+        for lang, half, _, texts in _parts(batch):
+            words = split_words(texts)
+            begin, end = _extent(words, ORDER)
+            code, count = np.unique(codes(words.data)[spread(begin, end - begin)], return_counts=True)
+            parts = held.setdefault((lang, half), [])
+            parts.append((code, count))
+            n_held += len(code)
+            if len(parts) >= 16:
+                n_held -= sum(len(p[0]) for p in parts)
+                parts[:] = [_summed(parts)]
+                n_held += len(parts[0][0])
+            if n_held > HELD:
+                yield from sent()
+                n_held = 0
+    yield from sent()
+
+
+def _halves(name: str) -> tuple[Column, Column]:
+    return F.col(f"{name}0"), F.col(f"{name}1")
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """(lang, d10, d20, d30, d11, d21, d31): the modified Kneser-Ney discounts of counts 1, 2 and 3 or more, in either half."""
+    n = level.groupBy("lang").agg(*[F.count_if(F.col(f"c{h}") == k).alias(f"n{k}{h}") for h in (0, 1) for k in (1, 2, 3, 4)])
+    out = []
+    for h in (0, 1):
+        n1, n2, n3, n4 = (F.col(f"n{k}{h}") for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        known = (n1 > 0) & (n2 > 0) & (n3 > 0)
+        given = ((1 - 2 * y * n2 / n1, 0.5, 0.95), (2 - 3 * y * n3 / n2, 0.75, 1.9), (3 - 4 * y * n4 / n3, 0.9, 2.9))
+        out += [F.when(known, F.greatest(F.lit(0.05), F.least(F.lit(most), d))).otherwise(F.lit(usual)).alias(f"d{k}{h}") for k, (d, usual, most) in enumerate(given, 1)]
+    return n.select("lang", *out)
+
+
+def _probabilities(level: DataFrame, below: DataFrame | None, order: int) -> DataFrame:
+    """(lang, code, c0, c1, p0, p1): of the last byte of each n-gram after the others, by the models of both halves."""
+    rows = join_small(level, written(discounts(level), "discounts"), "lang", "inner").withColumn("_context", F.shiftright("code", 8))
+    context = Window.partitionBy("lang", "_context")
+    for h in (0, 1):
+        c = F.col(f"c{h}")
+        cut = F.when(c == 0, 0.0).when(c == 1, F.col(f"d1{h}")).when(c == 2, F.col(f"d2{h}")).otherwise(F.col(f"d3{h}"))
+        rows = rows.withColumn(f"_cut{h}", cut)
+    rows = rows.withColumns({f"_{x}{h}": F.sum(y + str(h)).over(context) for h in (0, 1) for x, y in (("total", "c"), ("left", "_cut"))})
+    if below is None:
+        rows = rows.withColumns({"_p0": F.lit(1 / 256), "_p1": F.lit(1 / 256)})
+    else:
+        below = below.select("lang", F.col("code").alias("_suffix"), F.col("p0").alias("_p0"), F.col("p1").alias("_p1"))
+        rows = rows.withColumn("_suffix", F.col("code").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))).join(below, ["lang", "_suffix"])
+    for h in (0, 1):
+        total, lower = F.col(f"_total{h}"), F.col(f"_p{h}")
+        rows = rows.withColumn(f"p{h}", F.when(total > 0, (F.col(f"c{h}") - F.col(f"_cut{h}") + F.col(f"_left{h}") * lower) / total).otherwise(lower))
+    return written(rows.select("lang", "code", "c0", "c1", "p0", "p1"), f"order-{order}")
+
+
+def train(documents: DataFrame, order: int = ORDER) -> DataFrame:
+    """documents: text, lang (not null), half.  The probabilities of all n-grams, as ``_probabilities`` gives them."""
+    counts = documents.select("text", "lang", "half").mapInArrow(_counted, "lang string, code long, c0 long, c1 long")
+    levels = [written(counts.groupBy("lang", "code").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "counts")]
+    for n in range(order - 1, 0, -1):
+        suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("code")
+        shorter = levels[-1].groupBy("lang", suffix).agg(F.count_if(F.col("c0") > 0).alias("c0"), F.count_if(F.col("c1") > 0).alias("c1"))
+        levels.append(written(shorter, "counts"))
+    out = None
+    for n, level in enumerate(reversed(levels), 1):
+        out = _probabilities(level, out, n)
+    return out
 
 
-def _discounts(count: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from how many n-grams occur 1 to 4 times."""
-    n1, n2, n3, n4 = (float((count == k).sum()) for k in range(1, 5))
-    if not (n1 and n2 and n3):
-        return np.array([0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0.05, 0.05, 0.05], [0.95, 1.9, 2.9])
-
-
-class Model:
-    """For each order (1 first): n-gram codes, probabilities, context codes and back-off weights, codes ascending."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.orders = orders
-
-    @classmethod
-    def fitted(cls, code: np.ndarray, count: np.ndarray, order: int = ORDER) -> Model:
-        """code, count: the n-grams of the highest order, codes ascending."""
-        levels = [(code, count.astype(np.float64))]
-        for n in range(order - 1, 0, -1):  # how many symbols precede each shorter n-gram
-            shorter, continued = np.unique(levels[-1][0] & ((1 << (n * SYMBOL_BITS)) - 1), return_counts=True)
-            levels.append((shorter, continued.astype(np.float64)))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for n, (c, k) in enumerate(reversed(levels), 1):
-            d = _discounts(k)
-            cut = d[np.minimum(k, 3).astype(np.int64) - 1]
-            context, at = np.unique(c >> SYMBOL_BITS, return_index=True)
-            total = np.add.reduceat(k, at)
-            gamma = np.add.reduceat(cut, at) / total
-            of = np.repeat(np.arange(len(context)), np.diff(np.append(at, len(c))))
-            if n == 1:
-                lower = np.full(len(c), 1.0 / SYMBOLS)
-            else:
-                below_code, below_p = out[-1][0], out[-1][1]
-                lower = below_p[np.searchsorted(below_code, c & ((1 << ((n - 1) * SYMBOL_BITS)) - 1))]
-            out.append((c, (k - cut) / total[of] + gamma[of] * lower, context, gamma))
-        return cls(out)
-
-    def probability(self, code: np.ndarray, order: int | None = None) -> np.ndarray:
-        """Of the last symbol of each n-gram after the others; shorter contexts stand in for unseen ones."""
-        order = len(self.orders) if order is None else order
-        if order == 0:
-            return np.full(len(code), 1.0 / SYMBOLS)
-        c, p, context, gamma = self.orders[order - 1]
-        out = np.empty(len(code))
-        at = np.minimum(np.searchsorted(c, code), len(c) - 1)
-        seen = c[at] == code
-        out[seen] = p[at[seen]]
-        rest = np.flatnonzero(~seen)
-        if len(rest):
-            lower = self.probability(code[rest] & ((1 << ((order - 1) * SYMBOL_BITS)) - 1), order - 1)
-            h = code[rest] >> SYMBOL_BITS
-            at = np.minimum(np.searchsorted(context, h), len(context) - 1)
-            out[rest] = np.where(context[at] == h, gamma[at], 1.0) * lower
-        return out
-
-    def to_rows(self, lang: str) -> pd.DataFrame:
-        arrays = [[a.astype(t).tobytes() for a, t in zip(o, ("<i4", "<f8", "<i4", "<f8"), strict=True)] for o in self.orders]
-        return pd.DataFrame([(lang, n, *a) for n, a in enumerate(arrays, 1)], columns=["lang", "order", "codes", "probabilities", "contexts", "weights"])
-
-    @classmethod
-    def from_rows(cls, rows: list) -> Model:
-        kinds = (("codes", "<i4"), ("probabilities", "<f8"), ("contexts", "<i4"), ("weights", "<f8"))
-        return cls([tuple(np.frombuffer(r[c], t).astype(np.int64 if t == "<i4" else np.float64) for c, t in kinds) for r in sorted(rows, key=lambda r: r["order"])])
-
-
-_MODEL = "lang string, `order` int, codes binary, probabilities binary, contexts binary, weights binary"
-
-
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("code")
-    return Model.fitted(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)).to_rows(rows["lang"].iloc[0])
-
-
-def train(documents: DataFrame) -> DataFrame:
-    """The models of all languages, a row for each language and order, counted over all documents."""
-    counts = documents.select("text", "lang").mapInArrow(_counting(ORDER), "lang string, code int, n long")
-    counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    return written(counts.groupBy("lang").applyInPandas(_fit, _MODEL), "models")
+_TABLE = "lang string, half int, n long, codes binary, bits binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows lang, half, code, bits, sorted so, to arrays."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    key, n = None, 0
+
+    def table() -> pa.RecordBatch:
+        code, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([len(code)]), pa.array([code.astype("<u8").tobytes()]), pa.array([bits.astype("<f4").tobytes()])], ["lang", "half", "n", "codes", "bits"])
+
+    for batch in batches:
+        langs, halves = batch.column("lang").to_pylist(), batch.column("half").to_pylist()
+        code, bits = batch.column("code").to_numpy(), batch.column("bits").to_numpy()
+        at = [0, *[i for i in range(1, len(langs)) if (langs[i], halves[i]) != (langs[i - 1], halves[i - 1])], len(langs)]
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            if i == j:
+                continue
+            if held and ((langs[i], halves[i]) != key or n + j - i > PACKED):
+                yield table()
+                n = 0
+            key = (langs[i], halves[i])
+            held.append((code[i:j], bits[i:j]))
+            n += j - i
+    if held:
+        yield table()
+
+
+def lookup_table(model: DataFrame) -> DataFrame:
+    """The n-grams of each language and half, with their bits by the other half's model, as packed rows."""
+    n = int(model.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [model.filter(F.col(f"c{h}") > 0).select("lang", F.lit(h).alias("half"), "code", (-F.log2(f"p{1 - h}")).alias("bits")) for h in (0, 1)]
+    rows = parts[0].unionByName(parts[1]).repartitionByRange(n, "lang", "half", "code").sortWithinPartitions("lang", "half", "code")
+    return written(rows.mapInArrow(_packed, _TABLE), "lookup", rows=100_000)
+
+
+def _shards(table: DataFrame, most: int) -> Iterator[tuple[list[str], dict]]:
+    """(languages, arrays by language and half) of shards of at most ``most`` n-grams (or one packed row)."""
+    names = table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang")
+    group: list[str] = []
+    size = 0
+
+    def read(langs: list[str], part: DataFrame) -> tuple[list[str], dict]:
+        arrays: dict[tuple[str, int], list] = {}
+        for r in part.collect():  # at most ``most`` n-grams of 12 bytes
+            arrays.setdefault((r["lang"], r["half"]), []).append((bytes(r["codes"]), bytes(r["bits"])))
+        return langs, arrays
+
+    for r in names.toLocalIterator():
+        if r["n"] > most:  # a language of its own shards: its packed rows, in turns
+            turns = -(-r["n"] // max(1, most - PACKED)) if most > PACKED else -(-r["n"] // most)
+            mine = table.filter(F.col("lang") == r["lang"])
+            for k in range(turns):
+                part = mine.filter(F.pmod(F.xxhash64("codes"), F.lit(turns)) == k)
+                yield read([r["lang"]], part)
+            continue
+        if group and size + r["n"] > most:
+            yield read(group, table.filter(F.col("lang").isin(group)))
+            group, size = [], 0
+        group.append(r["lang"])
+        size += r["n"]
+    if group:
+        yield read(group, table.filter(F.col("lang").isin(group)))
 
 
 def _base(words: Words, raw: list[bytes]) -> dict[str, np.ndarray]:
@@ -239,80 +280,114 @@ def _base(words: Words, raw: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
-_SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, sign_bits double"
+_FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_BASE = "doc_id long, text_hash long, lang string, " + ", ".join(f"{c} long" for c in _FIGURES)
+_SUMS = "doc_id long, text_hash long, lang string, found long, bits double, n_grams long"
+
 
+def _looked_up(code: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each code its bits (0 where no table has it), and whether one has."""
+    bits, found = np.zeros(len(code)), np.zeros(len(code), bool)
+    for a in range(0, len(code), _AT_ONCE):
+        part = code[a : a + _AT_ONCE]
+        order = np.sort(part << np.uint64(64 - 8 * ORDER) | np.arange(len(part), dtype=np.uint64))
+        part, order = order >> np.uint64(64 - 8 * ORDER), (order & np.uint64(_AT_ONCE - 1)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        one, times = part[at], np.diff(np.append(at, len(part)))
+        value, known = np.zeros(len(one)), np.zeros(len(one), bool)
+        for keys, of in tables:
+            i = np.minimum(np.searchsorted(keys, one), len(keys) - 1)
+            here = keys[i] == one
+            value[here], known[here] = of[i[here]], True
+        bits[a + order], found[a + order] = np.repeat(value, times), np.repeat(known, times)
+    return bits, found
 
-def _scored(models: dict[str, list], order: int):
-    tables: dict[str, np.ndarray] = {}
 
-    def bits(lang: str) -> np.ndarray:
-        """-log2 of each n-gram's probability, by code: looked up once in the model's sorted arrays."""
-        if lang not in tables:
-            if len(tables) >= HELD_LANGUAGES:
-                tables.clear()
-            tables[lang] = -np.log2(Model.from_rows(models[lang]).probability(np.arange(1 << (order * SYMBOL_BITS)))).astype(np.float32)
-        return tables[lang]
+def _scored(shard, figures: bool):
+    """Rows doc_id, text_hash, text, lang, half to sums of bits over the n-grams that the shard has; with figures, to the base figures."""
+    loaded: dict[tuple[str, int], list] = {}
+
+    def tables(lang: str, half: int) -> list:
+        if (lang, half) not in loaded:
+            loaded[lang, half] = [(np.frombuffer(c, "<u8"), np.frombuffer(b, "<f4")) for c, b in shard.value.get((lang, half), [])]
+        return loaded[lang, half]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, langs = as_binary(batch.column("text")), np.array(_languages(batch.column("lang")), object)
-            for i, j in slices(column):
-                part = column.slice(i, j - i)
-                words = split_words(part)
-                code = codes(words.data, order)
-                begin, end = _extent(words, order)
-                score, salt = np.full(j - i, np.nan), np.full(j - i, np.nan)
-                sign = (code & (SYMBOLS - 1)) == _SIGN
-                n_words = np.diff(words.first)
-                for lang in set(langs[i:j]):
-                    mine = np.flatnonzero((langs[i:j] == lang) & (end > begin))
-                    if len(mine) and lang in models:
-                        at, of = spread(begin[mine], end[mine] - begin[mine]), np.repeat(np.arange(len(mine)), end[mine] - begin[mine])
-                        cost = bits(lang)[code[at]]
-                        score[mine] = np.bincount(of, cost, len(mine)) / (end[mine] - begin[mine])
-                        salt[mine] = np.bincount(of[sign[at]], cost[sign[at]], len(mine)) / n_words[mine]
-                base = _base(words, part.to_pylist())
-                cols = [batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(langs[i:j].tolist(), pa.string()), *(pa.array(v.astype(np.int64)) for v in base.values()), pa.array(score, from_pandas=True), pa.array(salt, from_pandas=True)]
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _SCORED.split(", ")])
+            for lang, half, rows, texts in _parts(batch):
+                words = split_words(texts)
+                ids = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "text_hash", "lang")]
+                if figures:
+                    base = _base(words, texts.to_pylist())
+                    yield pa.RecordBatch.from_arrays([*ids, *(pa.array(base[c].astype(np.int64)) for c in _FIGURES)], ["doc_id", "text_hash", "lang", *_FIGURES])
+                    continue
+                begin, end = _extent(words, ORDER)
+                size = end - begin
+                bits, found = _looked_up(codes(words.data)[spread(begin, size)], tables(lang, half))
+                row = np.repeat(np.arange(len(rows)), size)
+                sums = np.bincount(row, bits, len(rows)).astype(np.float64), np.bincount(row[found], minlength=len(rows))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sums[1]), pa.array(sums[0]), pa.array(size)], ["doc_id", "text_hash", "lang", "found", "bits", "n_grams"])
 
     return run
 
 
-def _quartiles(scores: DataFrame, score: str) -> DataFrame:
-    """(lang, q1, q3) of a score, counted in bins, over the documents that pass the base rules."""
-    binned = scores.filter(F.col(score).isNotNull() & ~F.col("base_failed")).groupBy("lang", F.floor(F.col(score) * BINS).alias("bin")).agg(F.count("*").alias("n"))
+def _quantiles(scores: DataFrame, score: str, shares: dict[str, float]) -> DataFrame:
+    """(lang, quantiles) of a score, counted in bins of a 1 / BINS of a doubling, over the documents that pass the base rules."""
+    binned = scores.filter((F.col(score) > 0) & ~F.col("base_failed")).groupBy("lang", F.floor(F.log2(score) * BINS).alias("bin")).agg(F.count("*").alias("n"))
     lists = binned.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("all"))
 
-    def quartile(share: float):
+    def quantile(share: float) -> Column:
         seen = F.aggregate(
             "bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("at")),
             lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.when(a["at"].isNull() & (a["n"] + b["n"] >= share * F.col("all")), b["bin"]).otherwise(a["at"]).alias("at")),
         )
-        return seen["at"] / BINS
-
-    return lists.select("lang", quartile(0.25).alias("q1"), (quartile(0.75) + 1.0 / BINS).alias("q3"))
-
-
-def bands(scores: DataFrame, span: float = SPAN, low_span: float = LOW_SPAN) -> DataFrame:
-    """(lang, low, high, most_signs): the bands of each language, from the quartiles of its scores."""
-
-    def wide(least: float):
-        return F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-
-    q = _quartiles(scores, "bits").select("lang", (F.col("q1") - low_span * wide(LEAST_SPREAD)).alias("low"), (F.col("q3") + span * wide(LEAST_SPREAD)).alias("high"))
-    signs = _quartiles(scores, "sign_bits").select("lang", (F.col("q3") + span * wide(LEAST_SIGN_SPREAD)).alias("most_signs"))
-    return q.join(signs, "lang")
-
-
-def judged(documents: DataFrame, span: float = SPAN) -> DataFrame:
-    """One row per document: doc_id, n_words, the base figures, base_failed, kept, lang and bits (per symbol)."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    models: dict[str, list] = {}
-    for r in train(rows).collect():  # a few MB per language, bounded by SYMBOLS ** ORDER
-        models.setdefault(r["lang"], []).append(r.asDict())
-    scores = rows.mapInArrow(_scored(models, ORDER), _SCORED)
+        return F.pow(F.lit(2.0), (seen["at"] + 0.5) / BINS)
+
+    return lists.select("lang", *[quantile(share).alias(name) for name, share in shares.items()])
+
+
+def bands(scores: DataFrame, low_span: float = LOW_SPAN, high_span: float = HIGH_SPAN, word_span: float = WORD_SPAN) -> DataFrame:
+    """(lang, low, high, most): the bands of each language, of bits per byte and (most) bits per word."""
+    shares = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+
+    def high(span: float) -> Column:
+        return F.col("q50") + span * F.greatest(F.col("q90") - F.col("q50"), LEAST_WIDTH * F.col("q50"))
+
+    byte = _quantiles(scores, "bits_per_byte", shares)
+    byte = byte.select("lang", (F.col("q50") - low_span * F.greatest(F.col("q50") - F.col("q10"), LEAST_WIDTH * F.col("q50"))).alias("low"), high(high_span).alias("high"))
+    return byte.join(_quantiles(scores, "bits_per_word", shares).select("lang", high(word_span).alias("most")), "lang")
+
+
+def scored(documents: DataFrame, shard: int = SHARD) -> DataFrame:
+    """One row per document: doc_id, lang, the base figures, base_failed, bits_per_byte, bits_per_word."""
+    spark = documents.sparkSession
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
+        F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)).cast("int").alias("half"),
+    )
+    table = lookup_table(train(rows))
+    base = written(rows.mapInArrow(_scored(None, figures=True), _BASE), "figures")
+    sums, passes = None, 0
+    for langs, arrays in _shards(table, shard):
+        given = spark.sparkContext.broadcast(arrays)
+        part = written(rows.filter(F.col("lang").isin(langs)).mapInArrow(_scored(given, figures=False), _SUMS).dropDuplicates(["doc_id", "text_hash", "lang"]), "sums")
+        given.unpersist()
+        sums, passes = part if sums is None else sums.unionByName(part), passes + 1
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scores = written(scores.withColumn("base_failed", failed), "scores")
-    scores = join_small(scores, written(bands(scores, span), "bands"), "lang")
-    inside = F.coalesce((F.col("bits") >= F.col("low")) & (F.col("bits") <= F.col("high")) & (F.col("sign_bits") <= F.col("most_signs")), F.lit(True))
-    return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "bits")
+    base = base.withColumn("base_failed", failed)
+    if sums is None:
+        return base.withColumns({"bits_per_byte": F.lit(None).cast("double"), "bits_per_word": F.lit(None).cast("double")})
+    sums = sums.groupBy("doc_id", "text_hash", "lang").agg(F.sum("bits").alias("_bits"), F.max("n_grams").alias("_n"))
+    sums = sums.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("lang").alias("_l"), "_bits", F.nullif("_n", F.lit(0)).alias("_n"))
+    out = base.join(sums, base["doc_id"].eqNullSafe(sums["_d"]) & (base["text_hash"] == sums["_h"]) & (base["lang"] == sums["_l"]), "left")
+    out = out.withColumns({"bits_per_byte": F.col("_bits") / F.col("_n"), "bits_per_word": F.when(F.col("_n") > 0, F.col("_bits")) / F.nullif("n_words", F.lit(0))})
+    return out.drop("_d", "_h", "_l", "_bits", "_n")
+
+
+def judged(documents: DataFrame, shard: int = SHARD, low_span: float = LOW_SPAN, high_span: float = HIGH_SPAN, word_span: float = WORD_SPAN) -> DataFrame:
+    """One row per document: doc_id, n_words, the base figures, base_failed, kept, lang, bits_per_byte and bits_per_word."""
+    scores = written(scored(documents, shard), "scores")
+    scores = join_small(scores, written(bands(scores, low_span, high_span, word_span), "bands"), "lang")
+    byte, word = F.col("bits_per_byte"), F.col("bits_per_word")
+    inside = F.coalesce((byte >= F.col("low")) & (byte <= F.col("high")) & (word <= F.col("most")), F.lit(True))
+    return scores.select("doc_id", *_FIGURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "bits_per_byte", "bits_per_word")
