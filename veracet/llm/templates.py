@@ -1,13 +1,16 @@
 """Main text of HTML pages by site template removal.
 
-Every page is parsed to a tree.  Elements that are never article text by their name, role or class (menus,
-headers, footers, asides, forms, scripts, adverts, notices, reader comments) go first.  Of the rest, the subtrees of all block
-elements are hashed, and counted per host in Spark: a subtree that recurs on many pages of a host is its
-template, and is deleted too.  Copies of one page count once, as a subtree's pages are told apart by the hash of the whole
-article; a passage that some articles of a host share is not a template until most of them have it.
+Every page is parsed to a tree.  The subtrees of all its block elements, in and out of the article, are hashed, and counted
+per host in Spark: a subtree that lies on ``LEAST_PAGES`` different pages of a host and on ``LEAST_SHARE`` of them is
+the host's template, and is deleted wherever it stands.  Copies of one page count once, as a subtree's pages are told apart by
+the hash of the whole article; a passage that fewer articles of a host share is not a template.
+
+What no other page repeats goes by its name or role (scripts, menus, headers, footers, asides, forms), or by a class or id that
+is one word of ``_CLASSES`` alone (``class="ad"``; neither ``class="lead notice"`` nor ``id="content-with-sidebar"``).
+An article or main element is never dropped by its class, and neither is what stands around a page's first one.
 
 The counts are grouped by (host, subtree), so a host that has a third of all pages is spread over all tasks; its
-templates are few, as each lies on more than half of its pages.
+templates are few, as each lies on ``LEAST_SHARE`` of its pages.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined by a line feed.
 
@@ -19,6 +22,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -31,8 +35,8 @@ from veracet.llm.link_trust import host_of
 from veracet.llm.store import join_small, written
 
 #: A subtree is a template if it lies on this many different pages of a host at least, and on this share of them.
-LEAST_PAGES = 8
-LEAST_SHARE = 0.6
+LEAST_PAGES = 5
+LEAST_SHARE = 0.35
 
 # Names and words of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,43 +55,58 @@ _CLASSES = frozenset(
     " disqus newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation footer header masthead popup"
     " modal overlay pagination pager widget toolbar login signup".split()
 )
+_UNSEEN = _RAW | frozenset("head template svg math canvas object map".split())
 _CLOSES_P = _BLOCK - frozenset("html body li dd dt td th tr thead tbody tfoot caption summary legend figcaption".split())
+_HOLDS_P = frozenset("td th table button object".split())
 _SIBLINGS = {
     "li": ("li", "ul ol menu".split()), "dt": ("dt dd", ["dl"]), "dd": ("dt dd", ["dl"]), "tr": ("tr td th", ["table"]), "td": ("td th", ["tr", "table"]),
     "th": ("td th", ["tr", "table"]), "option": ("option", ["select"]),
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "parent", "tag")
+    __slots__ = ("children", "drop", "paragraph", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False):
         self.tag, self.parent, self.drop = tag, parent, drop
+        #: the open p that a block element in here closes
+        self.paragraph: Node | None = self if tag == "p" else None if parent is None or tag in _HOLDS_P else parent.paragraph
         self.children: list[Node | str] = []
 
 
 def _is_dropped(tag: str, attributes: str) -> bool:
     if tag in _DROPPED:
         return True
-    if not attributes or tag in ("html", "body", "main"):
+    if not attributes or tag in ("html", "body", "main", "article"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and any(w in _CLASSES for w in _PARTS.split(value)):
+        if name in ("class", "id") and value.strip() in _CLASSES:
             return True
     return False
 
 
 def parse(html: str) -> Node:
-    """A tree of elements; end tags that are left out are supplied, stray ones ignored."""
+    """A tree of elements; end tags that are left out are supplied, stray ones ignored.  Each element is closed once, and
+    none is looked for that isn't open, so deep trees take no longer than wide ones."""
     root = at = Node("", None)
-    end, lower = 0, None
+    end, lower, first = 0, None, True
     position = 0
+    n_open: Counter[str] = Counter()
+
+    def closed(upto: Node) -> Node:
+        """Closes the elements from ``at`` to ``upto``, and returns what is open then."""
+        node = at
+        while True:
+            n_open[node.tag] -= 1
+            if node is upto:
+                return node.parent
+            node = node.parent
+
     while m := _TOKEN.search(html, position):
         if m.start() > end:
             at.children.append(html[end : m.start()])
@@ -99,32 +118,36 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up = at
+            up = at if n_open[tag] > 0 else root
             while up is not root and up.tag != tag:
                 if tag in ("p", "b", "i", "a", "span", "em", "strong") and up.tag in ("article", "main", "section", "td", "body"):
                     up = root  # a stray inline end tag closes nothing around it
                     break
                 up = up.parent
             if up is not root:
-                at = up.parent
+                at = closed(up)
             continue
-        if tag in _CLOSES_P:
-            up = at
-            while up is not root and up.tag not in ("p", "td", "th", "table", "button", "object"):
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
+        if tag in _CLOSES_P and at.paragraph is not None:
+            at = closed(at.paragraph)
         if tag in _SIBLINGS:
             closes, scope = _SIBLINGS[tag]
             closes, up, found = closes.split(), at, None
-            while up is not root and up.tag not in scope:
+            left = sum(n_open[c] for c in closes)
+            while left and up is not root and up.tag not in scope:
                 if up.tag in closes:
                     found = up
+                    left -= 1
                 up = up.parent
             if found is not None:
-                at = found.parent
+                at = closed(found)
         node = Node(tag, at, _is_dropped(tag, m[3]))
         at.children.append(node)
+        if first and tag in ("article", "main"):
+            first = False
+            up = at
+            while up is not root:  # what stands around a page's first article isn't dropped
+                up.drop = False
+                up = up.parent
         if tag in _RAW:
             lower = lower or html.lower()
             stop = lower.find(f"</{tag}", end)
@@ -137,6 +160,7 @@ def parse(html: str) -> Node:
             end = position = close + 1 if close >= 0 else len(html)
         elif tag not in _VOID and not m[3].rstrip().endswith("/") or tag in _BLOCK and tag not in _VOID:
             at = node
+            n_open[tag] += 1
     if end < len(html):
         at.children.append(html[end:])
     return root
@@ -163,8 +187,9 @@ def content(root: Node) -> list[Node]:
     return [root]
 
 
-def _walk(nodes: list[Node], templates: frozenset[int] | None) -> tuple[list[str], list[int]]:
-    """The blocks' texts, and the hashes of block subtrees; with templates, subtrees whose hash is there are left out.
+def _walk(nodes: list[Node], templates: frozenset[int] | None, whole: bool = False) -> tuple[list[str], list[int]]:
+    """The blocks' texts, and the hashes of block subtrees; with templates, subtrees whose hash is there are left out; the whole
+    tree has dropped elements too, but for scripts and the like.
 
     A subtree's hash covers its tag, its own texts and its inner blocks' hashes, so the walk is linear; it is
     iterative, as pages may nest deeply.
@@ -197,7 +222,7 @@ def _walk(nodes: list[Node], templates: frozenset[int] | None) -> tuple[list[str
                     run.append(child)
                 elif child.tag == "br":
                     run.append(" ")
-                elif not child.drop:
+                elif not child.drop or whole and child.tag not in _UNSEEN:
                     stack.append((child, 0))
             elif block:
                 flush()
@@ -224,9 +249,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, 500)
             article, found = [], []
             for html in part.column("html").to_pylist():
-                hashes = _walk(content(parse(html)), None)[1] if html else []
-                article.append(hash(tuple(hashes)))  # a tuple of integers: the same in every process
-                found.append(sorted(set(hashes)))
+                root = parse(html or "")
+                article.append(hash(tuple(_walk(content(root), None)[1])))  # a tuple of integers: the same in every process
+                found.append(sorted(set(_walk([root], None, whole=True)[1])))
             yield pa.RecordBatch.from_pydict({"host": part.column("host"), "article": pa.array(article, pa.int64()), "subtrees": pa.array(found, pa.list_(pa.int64()))})
 
 
