@@ -17,6 +17,7 @@ from veracet.llm import exact_dedup, language, link_trust, mixing, near_dup, pac
 from veracet.llm.tokens import ChunkTokenizer, tokenizer_path
 from veracet.llm.words import as_binary
 
+FUSED = "doc_id long, text string, declared string, host string"
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, kind string, _id int"  # extra columns with clashing names
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -106,15 +107,68 @@ def test_language_on_held_out_text_and_evidence(spark):
     made = [(i, " ".join(rng.choices(stock[k], k=30)), k) for i, k in enumerate(["en", "de", "fr"] * 40)]
     languages, table = language.train(spark.createDataFrame(made[:60], "doc_id long, text string, label string"))
     rows = [(i, t, None, "h.org") for i, t, _ in made[60:]] + [(900, "xyz", "de-AT", "h.org"), (901, "xyz", None, "a.fr"), (902, None, "de", "h.org"), (903, "xyz", "zz", None)]
-    got = {r["doc_id"]: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, declared string, host string"), languages, table).collect()}
+    got = {r["doc_id"]: r for r in language.identified(spark.createDataFrame(rows, FUSED).withColumn("claimed", F.lit(None)), languages, table).collect()}
     assert all(got[i]["lang"] == k for i, _, k in made[60:])
     assert got[900]["lang"] == "de"
     assert not got[902]["kept"]
     html = [(1, '<html lang="fr"><p>xyz</p></html>', None, None)]
-    out = language.identified(spark.createDataFrame(html, "doc_id long, text string, declared string, host string"), languages, table, html=True).first()
+    out = language.identified(spark.createDataFrame(html, FUSED).withColumn("claimed", F.lit(None)), languages, table, html=True).first()
     assert out["lang"] == "fr"
 
 
+def test_language_posterior_is_bayes(spark):
+    """Against the product of likelihoods, statements and priors, with the priors smoothed host by domain by corpus."""
+    rng = random.Random(3)
+    stock = {"en": "the and of that with".split(), "de": "der und nicht eine auch".split()}
+    made = [(i, " ".join(rng.choices(stock[k], k=30)), k) for i, k in enumerate(["en", "de"] * 20)]
+    languages, table = language.train(spark.createDataFrame(made, "doc_id long, text string, label string"))
+    rows = []
+    for i in range(30):
+        words = [*rng.choices(stock["en"], k=2), *rng.choices(stock["de"], k=rng.choice([0, 2, 4]))]
+        rows.append((i, " ".join(words), rng.choice([None, "de", "en-GB", "xx"]), rng.choice(["a.h.de", "b.h.de", "h.com", "x.h.com", None])))
+    got = {r["doc_id"]: r for r in language.identified(spark.createDataFrame(rows, FUSED).withColumn("claimed", F.lit(None)), languages, table).collect()}
+    log = {}
+    for i, text, *_ in rows:
+        import pyarrow as pa
+
+        cell, _ = language.trigrams(as_binary(pa.array([text])))
+        sums = table[cell[cell >= 0]].astype(float).sum(0)
+        log[i] = sums * min(1, language.EVIDENCE / (cell >= 0).sum())
+    alone = {i: np.exp(v - v.max()) / np.exp(v - v.max()).sum() for i, v in log.items()}
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    hosts = {i: h or "" for i, _, _, h in rows}
+    whole = (sum(alone.values()) + 1) / (len(rows) + 2)
+    for i, _, declared, host in rows:
+        near = [alone[k] for k in alone if domain(hosts[k]) == domain(hosts[i])]
+        above = (sum(near) + language.PRIOR * whole) / (len(near) + language.PRIOR)
+        here = [alone[k] for k in alone if hosts[k] == hosts[i]]
+        prior = (sum(here) + language.PRIOR * above) / (len(here) + language.PRIOR)
+        post = log[i] + np.log(prior)
+        if declared in ("de", "en-GB"):
+            post = post + np.log([0.9 if declared[:2] == k else 0.1 for k in languages])
+        if (host or "").endswith(".de"):
+            post = post + np.log([0.8 if k == "de" else 0.2 for k in languages])
+        post = np.exp(post - post.max()) / np.exp(post - post.max()).sum()
+        assert got[i]["probability"] == pytest.approx(post.max(), abs=1e-6)
+        assert got[i]["lang"] == languages[int(post.argmax())]
+    assert any(r["lang"] != r["text_lang"] for r in got.values())
+
+
+def test_language_rejects_what_fits_none_or_belies_its_label(spark):
+    rng = random.Random(5)
+    parts = {"en": "the an of ing tion er and st".split(), "fr": "le eau ou de que ment ai".split()}
+    word = lambda k: "".join(rng.choices(parts[k], k=rng.randint(1, 3)))
+    rows = [(i, " ".join(word(k) for _ in range(rng.randint(10, 150))), k, f"s{i % 3}") for i, k in enumerate(["en", "fr"] * 150)]
+    rows += [(1000 + i, " ".join("".join(rng.choices("qxzjkvw", k=6)) for _ in range(40)), "en", "s1") for i in range(4)]  # junk
+    rows += [(2000 + i, " ".join("".join(rng.choices("абвгдежз", k=6)) for _ in range(40)), "en", "s1") for i in range(4)]  # another language
+    rows += [(3000 + i, " ".join(word("fr") for _ in range(80)), "en", "s1") for i in range(4)]  # another label
+    rows += [(4000 + i, " ".join([*(word("fr") for _ in range(12)), *(word("en") for _ in range(70))]), "en", "s1") for i in range(4)]  # two languages
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"p": F.lit(1), "prior": F.lit("x"), "n": F.lit(None), "declared": F.lit("fr")})
+    kept = language.kept_documents(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows if r[0] < 1000 or r[0] >= 4000}
+
+
 def test_url_rules_and_parts(spark):
     urls = ["HTTP://Sub.Example.NET/en/1", "http://x.net/", "http://x.net", "https://example.com/de/2?q#f", "http://a.org/fr/x", "http://notexample.com/de/", "x", None, "a://b://c/d", "http://H?x/y"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
@@ -168,6 +222,46 @@ def test_main_text(spark):
     assert got[24][0] == "a\nb"
 
 
+def test_text_beside_words_of_the_lists_stays():
+    assert templates.extract('<article class="post comments-open"><p>a</p></article>') == "a"
+    assert templates.extract('<article class="comments"><p>a</p></article>') == "a"
+    assert templates.extract('<div id="content-with-sidebar"><p>a</p></div>') == "a"
+    assert templates.extract('<article><div class="entry-header"><h1>a</h1></div><p class="lead notice">b</p></article>') == "a\nb"
+    assert templates.extract('<form><div class="widget"><main><p>a</p></main></div></form>') == "a"
+    assert templates.extract('<article><p>a</p></article><div class="comments"><article><p>me too</p></article></div>') == "a"
+    assert templates.extract('<article><p>a</p><div class="ad">buy</div><div id="comments">x</div></article>') == "a"
+
+
+def test_templates_are_counted_in_the_whole_tree(spark):
+    """Spark's counts against plain ones, and a run in which templates change the texts."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        host = f"h{i % 3}.org"
+        notice = f"<div class='box notice-line'><p>Read our terms, {host}.</p></div>" if i % 2 else ""
+        own = "".join(f"<p>{' '.join(rng.choices('abcdefgh', k=6))} {i} {k}</p>" for k in range(3))
+        rows.append((i, f"http://{host}/x", f"<body><ul class='links'><li>home</li><li>about</li></ul><div>{own}</div>{notice}</body>"))
+    rows += [(100, "http://small.org/a", rows[1][2]), (101, None, None), (102, "http://h1.org/", "<div>" * 30_000 + "deep"), (103, "http://h1.org/", "<p>" + "long " * 200_000), rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "templates": F.lit(1), "subtrees": F.lit("y")})
+    on, seen = collections.defaultdict(set), collections.defaultdict(set)
+    for _, url, html in rows:
+        host, root = (url or "").removeprefix("http://").split("/")[0], templates.parse(html or "")
+        article = tuple(templates._walk(templates.content(root), None)[1])
+        seen[host].add(article)
+        for h in templates._walk([root], None, whole=True)[1]:
+            on[host, h].add(article)
+    want = collections.defaultdict(list)
+    for (host, h), articles in on.items():
+        if len(articles) >= templates.LEAST_PAGES and len(articles) >= templates.LEAST_SHARE * len(seen[host]):
+            want[host].append(h)
+    got = {r["host"]: r["templates"] for r in templates.site_templates(pages).collect()}
+    assert got == {h: sorted(t) for h, t in want.items()}
+    texts = {r["page_id"]: r["text"] for r in templates.main_text(pages).collect()}
+    assert all("terms" not in texts[i] and "home" not in texts[i] and len(texts[i].split("\n")) == 3 for i in range(60))
+    assert "home" in texts[100] and texts[101] == "" and texts[102] == "deep" and texts[103] == ("long " * 200_000).strip()
+    assert templates.main_text(pages.limit(0)).collect() == []
+
+
 def test_page_copies_are_not_templates(spark):
     page = "<article><p>The same story.</p><p>Told again.</p></article>"
     rows = [(i, "http://h.org/", page) for i in range(40)]

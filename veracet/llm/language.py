@@ -10,8 +10,13 @@ Four kinds of evidence on a document's language are multiplied:
 * a prior by host, smoothed through its domain to the whole corpus: each level's expected counts of languages
   (sums of what the texts alone say, by grouped aggregation) plus ``PRIOR`` times the level above.
 
-A document's language is the most probable one; it is rejected if it has no trigram or its probability is below
-``LEAST``.
+A document's language is the most probable one.  It is rejected if it has no trigram, its probability is below ``LEAST``, a
+language that its row claims (a label, which is no evidence) has a probability below ``DENIED``, or it is in none of the known
+languages: its cost (bits per trigram in its likeliest language) is above the median of that language's texts by more than
+``SPAN`` times the width from the median to the ninth decile (counted in bins over all texts), where a short text is
+allowed more, as its cost varies more.
+
+The texts of pages are read without their markup, scripts and styles.
 
 Defined results: null text has no trigram and is rejected; null or unknown declarations and suffixes say nothing;
 null hosts are one host; ties go to the language first by code point; repeated rows are judged alike; with no labelled
@@ -29,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veracet.llm.store import BROADCAST_ROWS, join_small, written
+from veracet.llm.link_trust import host_of
+from veracet.llm.store import BROADCAST_ROWS, binned_quantiles, join_small, written
 from veracet.llm.words import LOWER, as_binary, joined, slices
 
 CELLS = 1 << 16
@@ -39,8 +45,12 @@ DECLARED = 0.9
 SUFFIX = 0.8
 PRIOR = 20.0
 LEAST = 0.5
+DENIED = 1e-9
+SPAN = 5.0
 #: Address suffixes that stand for one language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "it": "it", "pt": "pt", "nl": "nl"}
+BINS = 200
+_MARKUP = re.compile(rb"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>", re.I | re.S)
 _LANG = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", re.I)
 
 
@@ -92,25 +102,30 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
 
 
 def _scored(table: np.ndarray, evidence: float, html: bool):
+    """Of each row the log likelihoods of its text (as of ``evidence`` trigrams at most), and its cost."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = as_binary(batch.column("text"))
             for i, j in slices(column):
                 part = column.slice(i, j - i)
+                declared = batch.column("declared").slice(i, j - i)
+                if html:
+                    raw = part.to_pylist()
+                    said = [m[1].decode().lower() if (m := _LANG.search(t)) else None for t in raw]
+                    declared = pa.array([a or b for a, b in zip(declared.to_pylist(), said, strict=True)], pa.string())
+                    part = pa.array([_MARKUP.sub(b" ", t) for t in raw], pa.large_binary())
                 cell, offsets = trigrams(part)
                 n = np.diff(np.concatenate(([0], np.cumsum(cell >= 0)))[offsets])
                 log = np.empty((j - i, table.shape[1]))
                 for k in range(table.shape[1]):
                     sums = np.concatenate(([0.0], np.cumsum(np.where(cell >= 0, table[:, k][cell], 0), dtype=np.float64)))[offsets]
                     log[:, k] = np.diff(sums)
+                cost = np.where(n > 0, -log.max(axis=1) / np.maximum(n, 1) / np.log(2), 0.0)
                 log *= np.minimum(1.0, evidence / np.maximum(n, 1))[:, None]
-                declared = batch.column("declared").slice(i, j - i)
-                if html:
-                    said = [m[1].decode().lower() if (m := _LANG.search(t)) else None for t in part.to_pylist()]
-                    declared = pa.array([a or b for a, b in zip(declared.to_pylist(), said, strict=True)], pa.string())
-                cols = [batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash", "host")]
+                cols = [batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash", "host", "claimed")]
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * table.shape[1], pa.int32()), pa.array(log.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*cols, declared, pa.array(n), rows], ["doc_id", "text_hash", "host", "declared", "n", "log"])
+                yield pa.RecordBatch.from_arrays([*cols, declared, pa.array(n), pa.array(cost), rows], ["doc_id", "text_hash", "host", "claimed", "declared", "n", "cost", "log"])
 
     return run
 
@@ -136,22 +151,30 @@ def _smoothed(counts: str, n: str, above: Column, weight: float) -> Column:
     return F.transform(F.arrays_zip(F.col(counts).alias("c"), above.alias("a")), lambda x: (x["c"] + weight * x["a"]) / (F.col(n) + weight))
 
 
+def _tag(column: Column) -> Column:
+    """The language of a language tag: de of de-AT or DE_de."""
+    return F.lower(F.substring_index(F.translate(F.trim(column), "_", "-"), "-", 1))
+
+
 def identified(
     rows: DataFrame, languages: list[str], table: np.ndarray, evidence: float = EVIDENCE, declared_right: float = DECLARED, suffix_right: float = SUFFIX, prior: float = PRIOR,
-    least: float = LEAST, html: bool = False,
+    least: float = LEAST, denied: float = DENIED, span: float = SPAN, html: bool = False,
 ) -> DataFrame:
-    """rows: doc_id, text, declared, host.  One row each: doc_id, text_hash, lang (null if nothing says one),
-    probability, text_lang (by the text alone), kept."""
+    """rows: doc_id, text, declared, host, claimed.  One row each: doc_id, text_hash, lang (null if nothing says one),
+    probability, text_lang (by the text alone), cost, kept."""
     size = len(languages)
     rows = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.lower(F.col("host")), F.lit("")).alias("host"),
-        F.lower(F.substring_index(F.translate(F.trim("declared"), "_", "-"), "-", 1)).alias("declared"), "text",
+        _tag(F.col("declared")).alias("declared"), _tag(F.col("claimed")).alias("claimed"), "text",
     )
     if not size:
-        return rows.select("doc_id", "text_hash", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("kept"))
-    schema = "doc_id long, text_hash long, host string, declared string, n long, log array<double>"
+        none = F.lit(None)
+        return rows.select("doc_id", "text_hash", none.cast("string").alias("lang"), F.lit(0.0).alias("probability"), none.cast("string").alias("text_lang"), none.cast("double").alias("cost"), F.lit(False).alias("kept"))
+    names = F.array(*map(F.lit, languages))
+    best = lambda p: F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))
+    schema = "doc_id long, text_hash long, host string, claimed string, declared string, n long, cost double, log array<double>"
     scores = rows.mapInArrow(_scored(table, evidence, html), schema)
-    scores = scores.withColumn("p", _normalised(F.col("log"))).withColumn("domain", _domain(F.col("host")))
+    scores = scores.withColumn("p", _normalised(F.col("log"))).withColumn("domain", _domain(F.col("host"))).withColumn("text_lang", F.when(F.col("n") > 0, best(F.col("p"))))
     scores = written(scores, "language-scores")
     spoken = scores.filter("n > 0")
     whole = spoken.agg(F.count("*"), *[F.sum(F.col("p")[k]) for k in range(size)]).first()
@@ -161,6 +184,7 @@ def identified(
     hosts = _level(spoken, "host", size).withColumn("domain", _domain(F.col("host")))
     hosts = join_small(hosts, domains, "domain")
     hosts = written(hosts.select("host", _smoothed("counts", "n", F.col("above"), prior).alias("prior")), "hosts")
+    costs = written(binned_quantiles(spoken.filter(F.col("n") >= evidence), "text_lang", "cost", {"_q5": 0.5, "_q9": 0.9}, BINS), "costs")
 
     def says(column: Column, right: float) -> Column:
         """Log evidence of a statement for each language."""
@@ -170,21 +194,33 @@ def identified(
 
     suffix = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.substring_index("host", ".", -1))
     suffix = F.when(F.col("host").contains("."), suffix)
-    out = join_small(scores, hosts, "host")
+    out = join_small(join_small(scores, hosts, "host"), costs, "text_lang")
     prior_of = F.coalesce("prior", F.array(*map(F.lit, overall)))
     parts = F.arrays_zip(F.col("log").alias("t"), says(F.col("declared"), declared_right).alias("d"), says(suffix, suffix_right).alias("s"), prior_of.alias("p"))
     out = out.withColumn("post", _normalised(F.transform(parts, lambda x: x["t"] + x["d"] + x["s"] + F.log(x["p"]))))
-    names = F.array(*map(F.lit, languages))
-    best = lambda p: F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))
     probability = F.array_max("post")
-    text_lang = F.when(F.col("n") > 0, best(F.col("p")))
-    return out.select("doc_id", "text_hash", best(F.col("post")).alias("lang"), probability.alias("probability"), text_lang.alias("text_lang"), ((F.col("n") > 0) & (probability >= least)).alias("kept"))
+    claim = F.coalesce(F.element_at("post", F.nullif(F.array_position(names, F.col("claimed")), F.lit(0)).cast("int")), F.lit(1.0))
+    width = F.greatest(F.col("_q9") - F.col("_q5"), 0.02 * F.col("_q5")) * (1 + F.sqrt(evidence / F.greatest("n", F.lit(1))))
+    foreign = F.coalesce(F.col("cost") > F.col("_q5") + span * width, F.lit(False))
+    kept = (F.col("n") > 0) & (probability >= least) & (claim >= denied) & ~foreign
+    return out.select("doc_id", "text_hash", best(F.col("post")).alias("lang"), probability.alias("probability"), "text_lang", "cost", kept.alias("kept"))
 
 
 def identify_documents(documents: DataFrame, **options) -> DataFrame:
-    """``identified`` for a table of documents: lang is what is declared, and the label; the source is the host."""
-    languages, table = train(documents.select("doc_id", "text", F.lower(F.trim("lang")).alias("label")))
-    return identified(documents.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host")), languages, table, **options)
+    """``identified`` for a table of documents: lang is the label that the likelihoods are fitted on, and what a row claims, but no
+    evidence on its own row; the source is the host."""
+    languages, table = train(documents.select("doc_id", "text", _tag(F.col("lang")).alias("label")))
+    none = F.lit(None).cast("string")
+    return identified(documents.select("doc_id", "text", none.alias("declared"), F.col("source").alias("host"), F.col("lang").alias("claimed")), languages, table, **options)
+
+
+def identify_pages(pages: DataFrame, documents: DataFrame, **options) -> DataFrame:
+    """``identified`` for a table of pages (doc_id is the page's), by likelihoods fitted on documents: the markup's language, the
+    address's suffix and the host are evidence."""
+    languages, table = train(documents.select("doc_id", "text", _tag(F.col("lang")).alias("label")))
+    none = F.lit(None).cast("string")
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), none.alias("declared"), host_of().alias("host"), none.alias("claimed"))
+    return identified(rows, languages, table, html=True, **options)
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:

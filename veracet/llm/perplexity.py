@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veracet.llm.store import join_small, written
+from veracet.llm.store import binned_quantiles, join_small, written
 from veracet.llm.words import Words, as_binary, mix, row_of, slices, split_words, spread
 
 ORDER = 5
@@ -331,21 +331,6 @@ def _scored(shard, figures: bool):
     return run
 
 
-def _quantiles(scores: DataFrame, score: str, shares: dict[str, float]) -> DataFrame:
-    """(lang, quantiles) of a score, counted in bins of a 1 / BINS of a doubling, over the documents that pass the base rules."""
-    binned = scores.filter((F.col(score) > 0) & ~F.col("base_failed")).groupBy("lang", F.floor(F.log2(score) * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    lists = binned.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("all"))
-
-    def quantile(share: float) -> Column:
-        seen = F.aggregate(
-            "bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("at")),
-            lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.when(a["at"].isNull() & (a["n"] + b["n"] >= share * F.col("all")), b["bin"]).otherwise(a["at"]).alias("at")),
-        )
-        return F.pow(F.lit(2.0), (seen["at"] + 0.5) / BINS)
-
-    return lists.select("lang", *[quantile(share).alias(name) for name, share in shares.items()])
-
-
 def bands(scores: DataFrame, low_span: float = LOW_SPAN, high_span: float = HIGH_SPAN, word_span: float = WORD_SPAN) -> DataFrame:
     """(lang, low, high, most): the bands of each language, of bits per byte and (most) bits per word."""
     shares = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
@@ -353,9 +338,10 @@ def bands(scores: DataFrame, low_span: float = LOW_SPAN, high_span: float = HIGH
     def high(span: float) -> Column:
         return F.col("q50") + span * F.greatest(F.col("q90") - F.col("q50"), LEAST_WIDTH * F.col("q50"))
 
-    byte = _quantiles(scores, "bits_per_byte", shares)
+    passed = scores.filter(~F.col("base_failed"))
+    byte = binned_quantiles(passed, "lang", "bits_per_byte", shares, BINS)
     byte = byte.select("lang", (F.col("q50") - low_span * F.greatest(F.col("q50") - F.col("q10"), LEAST_WIDTH * F.col("q50"))).alias("low"), high(high_span).alias("high"))
-    return byte.join(_quantiles(scores, "bits_per_word", shares).select("lang", high(word_span).alias("most")), "lang")
+    return byte.join(binned_quantiles(passed, "lang", "bits_per_word", shares, BINS).select("lang", high(word_span).alias("most")), "lang")
 
 
 def scored(documents: DataFrame, shard: int = SHARD) -> DataFrame:

@@ -35,6 +35,10 @@ def op3_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(_documents(spark, sf_dir)).drop("text_hash")
 
 
+def op3_evidence_fusion_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(_pages(spark, sf_dir), _documents(spark, sf_dir)).drop("text_hash").withColumnRenamed("doc_id", "page_id")
+
+
 def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.main_text(_pages(spark, sf_dir))
 
@@ -64,7 +68,7 @@ def op10_fingerprint_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_token_archive, op2_link_trust, op3_evidence_fusion, op4_site_templates, op5_super_kmers, op6_linear_grouping, op7_parity_sketches, op8_source_mixing,
+    op1_token_archive, op2_link_trust, op3_evidence_fusion, op3_evidence_fusion_pages, op4_site_templates, op5_super_kmers, op6_linear_grouping, op7_parity_sketches, op8_source_mixing,
     op9_ngram_perplexity, op10_fingerprint_exchange,
 )
 

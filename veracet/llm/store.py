@@ -23,11 +23,14 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.  Where both are
+    unset, a local master gets one of its own; on a cluster that is an error, as executors don't see the driver's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="veracet-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -99,6 +102,22 @@ def null_safe(column: str | Column) -> Column:
     return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), column.cast("string")))
 
 
+def binned_quantiles(df: DataFrame, key: str, score: str, shares: dict[str, float], bins: int) -> DataFrame:
+    """(key, a column for each share): quantiles of a positive score, counted in bins of a 1 / ``bins`` of a doubling, so that
+    a key's values are never gathered."""
+    binned = df.filter(F.col(score) > 0).groupBy(key, F.floor(F.log2(score) * bins).alias("_bin")).agg(F.count("*").alias("n"))
+    lists = binned.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_bin", "n"))).alias("_bins"), F.sum("n").alias("_all"))
+
+    def quantile(share: float) -> Column:
+        seen = F.aggregate(
+            "_bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("at")),
+            lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), F.when(a["at"].isNull() & (a["n"] + b["n"] >= share * F.col("_all")), b["_bin"]).otherwise(a["at"]).alias("at")),
+        )
+        return F.pow(F.lit(2.0), (seen["at"] + 0.5) / bins)
+
+    return lists.select(key, *[quantile(share).alias(name) for name, share in shares.items()])
+
+
 def running_total(df: DataFrame, key: list[str], order: list[str], value: str, out: str, name: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before, in ``order`` within ``key``.
 
