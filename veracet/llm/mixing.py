@@ -127,9 +127,9 @@ def block_draws(sizes: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataF
 
 
 def mix_report(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and pieces (from, words, times within it)."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
-    offsets = running_total(rows, ["source"], ["doc_id"], "size", "begin", "sizes")
+    """One row per document: doc_id, size, source_size, target, taken, pieces (from, words, times within it) and text_hash."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), word_count().alias("size"))
+    offsets = running_total(rows, ["source"], ["doc_id", "text_hash"], "size", "begin", "sizes")
     offsets = written(offsets.withColumn("_row", F.monotonically_increasing_id()), "offsets")
     sizes = offsets.groupBy("source").agg(F.sum("size").alias("source_size"))
     sizes = written(targets(sizes, weights, total, most), "targets")
@@ -144,20 +144,28 @@ def mix_report(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
     own = sizes.select(F.col("source").alias("_s"), "source_size", "target")
     out = join_small(out, own, F.col("source").eqNullSafe(F.col("_s")))
     pieces = F.coalesce("pieces", F.array().cast("array<struct<at:bigint,n:bigint,times:bigint>>"))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), pieces.alias("pieces"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), pieces.alias("pieces"), "text_hash")
 
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mix as documents: for the k-th time that any of its words are taken, a row with those words.
 
-    A document whose words are all taken keeps its text as it is; else the words taken are joined by one space.
-    Repeated doc_ids are laid out once each by (doc_id, text).
+    A document whose words are all taken keeps its text as it is; else the words taken are joined by one space.  Rows with
+    one doc_id are told apart by source and text; rows that are alike in all three are laid out one after the other, and
+    their other columns are those of one of them.
     """
     columns = documents.columns
-    report = mix_report(documents, **options).filter("taken > 0").select(F.col("doc_id").alias("__veracet_id"), F.col("source").alias("__veracet_source"), F.col("size").alias("__veracet_size"), F.col("pieces").alias("__veracet_pieces"))
-    report = report.dropDuplicates(["__veracet_id", "__veracet_source", "__veracet_size"])
-    same = F.col("doc_id").eqNullSafe(F.col("__veracet_id")) & F.col("source").eqNullSafe(F.col("__veracet_source")) & (word_count() == F.col("__veracet_size"))
-    both = documents.join(report, same)
+    key = ["__veracet_id", "__veracet_source", "__veracet_hash"]
+    report = mix_report(documents, **options).select(
+        F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("text_hash").alias(key[2]), F.col("size").alias("__veracet_size"), F.col("taken").alias("__veracet_taken"), F.col("pieces").alias("__veracet_pieces")
+    )
+    report = written(report, "mix-report")
+    same = F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("source").eqNullSafe(F.col(key[1])) & (F.xxhash64("text") == F.col(key[2]))
+    twice = written(report.groupBy(*key).agg(F.count("*").alias("__veracet_rows")).filter("__veracet_rows > 1").select(*key), "alike")
+    if not twice.isEmpty():  # each row alike once, as it meets the pieces of all of them
+        alike = join_small(documents, twice, same, "left_semi").withColumn(key[2], F.xxhash64("text")).dropDuplicates(["doc_id", "source", key[2]]).drop(key[2])
+        documents = join_small(documents, twice, same, "left_anti").unionByName(alike)
+    both = documents.join(report.filter("__veracet_taken > 0"), same)
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("__veracet_pieces", lambda p: p["times"]))))
     both = both.withColumn("__veracet_copy", copy)
     both = both.withColumn("__veracet_mine", F.filter("__veracet_pieces", lambda p: p["times"] >= F.col("__veracet_copy")))
