@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veracet.llm.store import drop, join_small, new_path, written
-from veracet.llm.words import as_binary, mix, prefix_hash, range_hash, slices, split_words
+from veracet.llm.words import as_binary, mix, prefix_hash, range_hash, released, slices, split_words
 
 SHINGLE = 5
 PERCENT = 80
@@ -237,7 +237,7 @@ def _sketched(buckets: int, percent: int, shingle: int):
                 if held.n > HELD or held.nodes > HELD:
                     yield from sent()
         yield from sent()
-        pa.default_memory_pool().release_unused()
+        released()
 
     return run
 
@@ -281,7 +281,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((uid, *_unpacked(raw)))
     if held:
         yield from replies()
-    pa.default_memory_pool().release_unused()
+    released()
 
 
 #: g: the group (bucket << 32 | key); meta: the set's size << 1 | whether it may be the smaller set there.
@@ -326,7 +326,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[kind].append(node if kind == "x" else raw)
     if uid is not None:
         yield from members()
-    pa.default_memory_pool().release_unused()
+    released()
 
 
 def _may_link(size_a: np.ndarray, own_a: np.ndarray, size_b: np.ndarray, own_b: np.ndarray, percent: int) -> np.ndarray:
