@@ -11,15 +11,52 @@ from veracet.sources import tables
 
 
 def test_identity_rules_in_order(spark):
-    fields = "source_product_id int, category string, gtin string, brand string, model_number string, title string, size string"
+    names = "category gtin brand model_number title size manufacturer_part_number colour grip"
+    fields = "source_product_id int, " + ", ".join(f"{c} string" for c in names.split())
     incoming = spark.createDataFrame(
-        [(1, "tv", "77", "A", "m1", "A m1 tv", None), (2, "tv", None, "a ", "M2", "x", "55"), (3, "tv", None, "B", "zx 9000 pro", "B zx 9000 pro big screen", None), (4, "tv", None, "C", "", "", None), (5, "tv", None, "A", "m2", "x", "65")], fields
-    )
+        [
+            (1, "tv", "77", "A", "m1", "A m1 tv", None, None, None, None),
+            (2, "tablet", None, "a ", "M2", "x", "55", None, None, None),
+            (3, "tv", None, "B", "zx 9000 pro", "B zx 9000 pro big screen", None, None, None, None),
+            (4, "tv", None, "C", "", "", None, None, None, None),
+            (5, "tablet", None, "A", "m2", "x", "65", None, None, None),  # another variant of 11, but 13 is in another category
+            (6, "tablet", None, "A", None, "x", "65", " pn-1", None, None),
+            (7, "tablet", None, "Q", None, "x", None, "PN-1", None, None),  # the part number's brand contradicts
+            (8, "tv", None, "D", None, "", None, "PN-1", None, None),  # part numbers say nothing of a tv
+            (9, "bike", None, "E", "m9", "", "5", None, "red", "cork"),
+            (10, "bike", None, "E", "m9", "", "5", None, "red", "foam"),  # one of three differs
+        ], fields,
+    )
     known = spark.createDataFrame(
-        [(10, "tv", "77", "Z", "q", "other", None), (11, "tv", None, "A", "m2", "x", "55"), (12, "tv", None, "B", "zx 9000", "B zx 9000 pro big screen", None), (13, "radio", None, "A", "m2", "x", None)], fields.replace("source_product_id", "product_id")
-    )
-    got = {r["source_product_id"]: (r["product_id"], r["rule"]) for r in identity.match(incoming, known, ("size",)).collect()}
-    assert got == {1: (10, "gtin"), 2: (11, "brand_model"), 3: (12, "similarity"), 4: (None, "none"), 5: (None, "none")}
+        [
+            (10, "tv", "77", "Z", "q", "other", None, None, None, None), (11, "tablet", None, "A", "m2", "x", "55", None, None, None),
+            (12, "tv", None, "B", "zx 9000", "B zx 9000 pro big screen", None, None, None, None), (13, "radio", None, "A", "m2", "x", None, None, None, None),
+            (14, "tablet", None, "A", "m3", "y", None, "PN-1", None, None), (15, "bike", None, "F", "k1", "", "5", None, "RED", None), (16, "bike", None, "F", "k1", "", "5", None, "red", "cork"),
+        ], fields.replace("source_product_id", "product_id"),
+    )
+    got = {r["source_product_id"]: (r["product_id"], r["rule"], r["confidence"]) for r in identity.match(incoming, known, ("size",), ("size", "colour", "grip")).collect()}
+    assert got == {
+        1: (10, "gtin", 1.0), 2: (11, "brand_model", 0.97), 3: (12, "similarity", 0.9185), 4: (None, "none", 0.0), 5: (13, "brand_model", 0.97), 6: (14, "part_number", 0.98), 7: (None, "none", 0.0),
+        8: (None, "none", 0.0), 9: (16, "attributes", 0.93), 10: (15, "attributes", 0.93),
+    }
+
+
+def test_conflicts_by_flag_and_spread(spark):
+    said = [(1, "size", "50"), (1, "size", "52"), (2, "size", "50"), (2, "size", "50.4"), (3, "colour", "Red"), (3, "colour", "red "), (4, "colour", "red"), (4, "colour", "blue"), (5, "note", "a"), (6, "size", "9")]
+    evidence = spark.createDataFrame(said, "product_id int, attribute string, value string")
+    held = [(1, "size", "52", 7, False, 0.8, 2), (2, "size", "50", 7, False, 0.8, 2), (3, "colour", "red", 7, False, 0.8, 2), (4, "colour", "blue", 8, True, 0.9, 2), (5, "note", "a", 9, True, 0.5, 1), (6, "size", "9", 9, False, 0.5, 1)]
+    canonical = spark.createDataFrame(held, "product_id int, attribute string, value string, winner int, has_conflict boolean, confidence double, evidence int")
+    kinds = spark.createDataFrame([("size", "integer"), ("colour", "string")], "attribute string, value_type string")
+    got = {r["product_id"]: (r["reason"], r["severity"], r["suggested"], r["suggested_source"], r["suggested_confidence"]) for r in merging.conflicts(evidence, kinds, canonical).collect()}
+    assert got == {1: ("numeric spread", 0.75, "52", 7, 0.8), 4: ("different values", 0.90, "blue", 8, 0.9), 5: ("flagged", 0.90, "a", 9, 0.5)}
+
+
+def test_ranks_over_ranges(spark):
+    rows = [(i, (i * 37) % 101, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, a int, b int")
+    got = {r["id"]: r["rank"] for r in tables.ranked(df, [F.desc("a"), F.asc("b"), F.asc("id")]).collect()}
+    assert got == {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[2], r[0])), 1)}
+    assert tables.ranked(df.limit(0), [F.asc("id")]).collect() == []
 
 
 def test_merge_fold_by_weight_and_time(spark):

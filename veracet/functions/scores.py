@@ -115,6 +115,43 @@ def merge_weight(trust: Column, quality: Column, reliability: Column, stability:
     return clamp(rounded(F.coalesce(trust, F.lit(0.72)) * quality * reliability * F.coalesce(stability, F.lit(0.90)) * F.coalesce(disagreement, F.lit(1.0)) * recency, 4), 0.05, 1.0)
 
 
+def existing_weight(stored: Column, trust: Column, quality: Column, reliability: Column, stability: Column, confidence: Column, recency: Column) -> Column:
+    """The weight of a value that a product has: what is stored, else the product of its parts, where a part that is not
+    positive counts as its default (the confidence for quality and reliability)."""
+
+    def part(value: Column, usual: Column) -> Column:
+        return F.when(value > 0, value).otherwise(usual)
+
+    made = part(trust, F.lit(0.72)) * part(quality, confidence) * part(reliability, confidence) * part(stability, F.lit(0.90)) * recency
+    return clamp(F.when(stored > 0, stored).otherwise(rounded(made, 4)), 0.05, 1.0)
+
+
+def completeness(values: Column, keys: Column, brand: Column, model_number: Column, gtin: Column) -> Column:
+    """Share of a category's keys (completeness and identity ones together, an array) that a product has; values: its
+    attributes (map), where brand, model_number and gtin are columns of its own.  A category without keys counts
+    values and the three columns against eight."""
+    own = {"brand": brand, "model_number": model_number, "gtin": gtin}
+    said = lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
+    keys = F.array_distinct(F.transform(F.coalesce(keys, F.array().cast("array<string>")), F.lower))
+
+    def has(k: Column) -> Column:
+        out = None
+        for name, column in own.items():
+            out = F.when(k == name, said(column)) if out is None else out.when(k == name, said(column))
+        return out.otherwise(said(F.element_at(values, k)))
+
+    held = F.size(F.filter(F.map_values(values), lambda v: v.isNotNull())) + sum(said(c).cast("int") for c in own.values())
+    return F.when(F.size(keys) > 0, F.size(F.filter(keys, has)) / F.nullif(F.size(keys), F.lit(0))).otherwise(F.least(F.lit(1.0), held / 8.0))
+
+
+def suggestion_confidence(score: Column, first_seen: Column, last_seen: Column, occurrences: Column) -> Column:
+    """Of the best attribute for an unmapped name: its score, raised for names that persist (a month) and recur (20 times);
+    null where the score is below 0.60."""
+    days = F.greatest(F.lit(1.0), (F.unix_micros(last_seen) - F.unix_micros(first_seen)) / 86_400_000_000 + 1)
+    value = score + F.least(F.lit(0.15), days / 30 * 0.15) + F.least(F.lit(0.10), occurrences / 20 * 0.10)
+    return F.when(score >= 0.60, F.least(F.lit(0.99), rounded(value, 2)))
+
+
 def trust(coverage: Column, conflict: Column, agreement: Column, breadth: Column, promotion: Column, success: Column, extractable: Column, no_product: Column, yielded: Column,
           price_volatility: Column, spec_stability: Column, penalty: Column) -> Column:
     value = (
@@ -243,3 +280,37 @@ def signal_score(categories: Column, brands: Column, reasons: Column, manufactur
     return 10 * categories + 8 * brands + 3 * reasons + F.when(manufacturer, 5).otherwise(0)
 
 
+# The states in which a run or a candidate may do what the name says.
+RUN_STATES = {
+    "pause": ("queued", "running"),
+    "resume": ("paused",),
+    "stop_at_once": ("queued", "paused"),
+    "request_stop": ("running",),
+    "terminal": ("cancelled", "completed", "failed"),
+    "active": ("queued", "running", "paused", "cancel_requested", "recoverable"),
+}
+CANDIDATE_STATES = {
+    "accept": ("suggested",),
+    "dismiss": ("suggested", "failed", "archived"),
+    "restore": ("dismissed", "archived"),
+    "progress": ("pending", "probing", "awaiting_llm"),
+    "supersede": ("pending", "probing", "awaiting_llm", "suggested", "auto_accepted"),
+}
+#: Where an action takes a run from a state that allows it.
+RUN_ACTIONS = {"pause": "paused", "resume": "queued", "stop_at_once": "cancelled", "request_stop": "cancel_requested"}
+
+
+def may(state: Column, action: str, states: dict[str, tuple[str, ...]] = RUN_STATES) -> Column:
+    """Whether a run (or with CANDIDATE_STATES a candidate) in this state, of any case, may do it; a null state may nothing."""
+    return F.coalesce(F.lower(state).isin(*states[action]), F.lit(False))
+
+
+def run_after(state: Column, action: Column) -> Column:
+    """The state that an operator's action leads to: a stop ends a run that waits at once, and asks one that works to end;
+    actions that the state doesn't allow, and unknown ones, change nothing."""
+    out = F.lower(state)
+    stop = F.when(may(state, "stop_at_once"), RUN_ACTIONS["stop_at_once"]).when(may(state, "request_stop"), RUN_ACTIONS["request_stop"]).otherwise(out)
+    return (
+        F.when(action == "stop", stop).when((action == "pause") & may(state, "pause"), RUN_ACTIONS["pause"])
+        .when((action == "resume") & may(state, "resume"), RUN_ACTIONS["resume"]).otherwise(out)
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracet.functions import urls
+from veracet.sources.tables import settled
 from veracet.functions.text import name_key
 
 _HREF = "(?is)<(?:a|link)\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"']*)[\"']"
@@ -115,13 +116,14 @@ def pair_count(rows: DataFrame, ways: dict[str, list]) -> DataFrame:
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """Breadth-first: node and the least depth at which links reach it from the seeds; edges: source, target; seeds: node.
 
-    One join and one anti-join for each depth; what is found is checkpointed, so that the plan stays short.
+    One join and one anti-join for each depth; each front is checkpointed, so that none is computed anew for the next.
     """
-    found = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    front = found
+    front = found = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         following = front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node")).distinct()
-        front = following.join(found, "node", "left_anti").withColumn("depth", F.lit(depth))
+        front = settled(following.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found
 

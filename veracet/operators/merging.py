@@ -49,24 +49,25 @@ def merged(claims: DataFrame) -> DataFrame:
     return out.withColumn("m", F.aggregate("_c", start, step)).select("product_id", "attribute", "m.*")
 
 
-def conflicts(evidence: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Attributes on which sources contradict each other: numbers spread beyond max(0.5, 3 %), or more than one text."""
-    typed = evidence.join(F.broadcast(definitions.select("attribute", "value_type", "sensitivity")), "attribute", "left")
+def conflicts(evidence: DataFrame, definitions: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Attributes on which sources contradict each other: numbers spread beyond max(0.5, 3 %), more than one text, or a
+    conflict that the merge has flagged.
+
+    evidence: product_id, attribute, value; canonical: product_id, attribute, value, winner, has_conflict, confidence (the
+    greater of its weight and confidence) and evidence (count).  Attributes with one claim and no flag are left out.  The
+    severity goes by the merge's flag; what is suggested is the canonical value, with its source.
+    """
     numeric = F.col("value_type").isin("integer", "decimal")
     n = F.col("value").try_cast("double")
-    best = F.max(F.struct("confidence_pct", "observed", "source_id", "value"))
-    out = typed.groupBy("product_id", "attribute").agg(
-        F.first(numeric, ignorenulls=True).alias("numeric"), F.max("sensitivity").alias("sensitivity"), F.count("*").alias("claims"), F.min(n).alias("low"), F.max(n).alias("high"),
-        F.countDistinct(F.lower(F.trim("value"))).alias("values"), best.alias("b"),
-    )
-    spread = F.col("numeric") & ((F.col("high") - F.col("low")) > F.greatest(F.lit(0.5), F.abs(F.col("high")) * 0.03))
-    differs = F.coalesce(F.when(F.col("numeric"), spread).otherwise(F.col("values") > 1), F.lit(False))
-    out = out.filter(F.col("claims") >= 2).filter(differs)
-    severity = F.when(F.col("sensitivity").isin("critical", "high"), 0.90).otherwise(0.75)
-    return out.select(
-        "product_id", "attribute", F.when(F.col("numeric"), "numeric spread").otherwise("different values").alias("reason"), severity.alias("severity"), F.col("values").alias("n_values"),
-        F.col("b.value").alias("suggested"), F.col("b.source_id").alias("suggested_source"), F.col("b.confidence_pct").alias("suggested_confidence"),
-    )
+    said = evidence.groupBy("product_id", "attribute").agg(F.min(n).alias("low"), F.max(n).alias("high"), F.count(n).alias("numbers"), F.countDistinct(F.lower(F.trim("value"))).alias("values"))
+    held = canonical.select("product_id", "attribute", F.col("value").alias("suggested"), F.col("winner").alias("suggested_source"), F.col("confidence").alias("suggested_confidence"), F.col("evidence").alias("claims"), "has_conflict")
+    out = said.join(held, ["product_id", "attribute"]).join(definitions.select("attribute", "value_type"), "attribute", "left")
+    spread = numeric & (F.col("numbers") >= 2) & ((F.col("high") - F.col("low")) > F.greatest(F.lit(0.5), F.abs(F.col("high")) * 0.03))
+    texts = F.col("value_type").isin("string", "boolean") & (F.col("values") > 1)
+    reason = F.when(spread, "numeric spread").when(texts, "different values").when(F.col("has_conflict"), "flagged")
+    out = out.filter((F.col("claims") >= 2) | F.col("has_conflict")).withColumn("reason", reason).filter("reason is not null")
+    severity = F.when(F.col("has_conflict"), 0.90).otherwise(0.75)
+    return out.select("product_id", "attribute", "reason", severity.alias("severity"), F.col("values").alias("n_values"), "suggested", "suggested_source", "suggested_confidence")
 
 
 def changed(a: Column, b: Column) -> Column:

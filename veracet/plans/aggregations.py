@@ -346,11 +346,11 @@ def g32(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "g33_conflict_groups",
     "SELECT product_id, attribute, value, count(*) AS claims, string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY source_id) AS sources, bool_or(canonical = value) AS is_canonical FROM"
-    " (SELECT e.*, c.value AS canonical FROM v_evidence e JOIN v_canonical c USING (product_id, attribute) WHERE c.has_conflict AND attribute = 'linestatus') GROUP BY ALL",
+    " (SELECT e.*, c.value AS canonical FROM v_evidence e JOIN v_canonical c USING (product_id, attribute) WHERE c.has_conflict) GROUP BY ALL",
     "v_evidence v_canonical",
 )
 def g33(spark: SparkSession, d: str) -> DataFrame:
-    c = views.canonical(spark, d).filter("has_conflict and attribute = 'linestatus'").select("product_id", "attribute", F.col("value").alias("_c"))
+    c = views.canonical(spark, d).filter("has_conflict").select("product_id", "attribute", F.col("value").alias("_c"))
     both = views.evidence(spark, d).join(c, ["product_id", "attribute"])
     sources = F.array_join(F.transform(F.array_sort(F.collect_list("source_id")), lambda x: x.cast("string")), ",")
     return both.groupBy("product_id", "attribute", "value").agg(F.count("*").alias("claims"), sources.alias("sources"), F.bool_or(F.col("value") == F.col("_c")).alias("is_canonical"))

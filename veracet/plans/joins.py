@@ -13,9 +13,8 @@ from veracet.sources import tables, views
 
 @query(
     "j01_links_with_fallback",
-    "SELECT e.product_id, e.source_id, coalesce(a.seq, b.seq) AS seq, a.seq IS NULL AS by_fallback FROM (SELECT * FROM v_evidence WHERE attribute = 'tax') e"
-    " LEFT JOIN (SELECT * FROM v_evidence WHERE attribute = 'quantity' AND product_id % 2 = 0) a ON a.product_id = e.product_id AND a.source_id = e.source_id"
-    " LEFT JOIN (SELECT * FROM v_evidence WHERE attribute = 'unit_price') b ON b.product_id = e.product_id AND b.source_id = e.source_id",
+    "SELECT product_id, source_id, coalesce(max(seq) FILTER (attribute = 'quantity' AND product_id % 2 = 0), max(seq) FILTER (attribute = 'unit_price')) AS seq, max(seq) FILTER (attribute = 'quantity' AND product_id % 2 = 0) IS NULL AS by_fallback"
+    " FROM v_evidence GROUP BY product_id, source_id HAVING count(*) FILTER (attribute = 'tax') > 0",
     "v_evidence",
 )
 def j01(spark: SparkSession, d: str) -> DataFrame:
@@ -68,13 +67,13 @@ def j05(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j06_two_step",
-    "SELECT product_id, CASE WHEN claims IS NULL THEN 'unknown' WHEN wins IS NULL THEN 'claimed' ELSE 'canonical' END AS state FROM v_products LEFT JOIN (SELECT product_id, count(*) AS claims FROM v_evidence WHERE source_id < 20 GROUP BY 1) USING (product_id)"
-    " LEFT JOIN (SELECT product_id, count(*) AS wins FROM v_canonical WHERE winner < 20 GROUP BY 1) USING (product_id)",
+    "SELECT product_id, CASE WHEN claims IS NULL THEN 'unknown' WHEN wins IS NULL THEN 'claimed' ELSE 'canonical' END AS state FROM v_products LEFT JOIN (SELECT product_id, count(*) AS claims FROM v_evidence GROUP BY 1) USING (product_id)"
+    " LEFT JOIN (SELECT product_id, count(*) AS wins FROM v_canonical WHERE winner % 2 = 0 GROUP BY 1) USING (product_id)",
     "v_products v_evidence v_canonical",
 )
 def j06(spark: SparkSession, d: str) -> DataFrame:
-    claimed = views.evidence(spark, d).filter("source_id < 20").groupBy("product_id").agg(F.count("*").alias("claims"))
-    won = views.canonical(spark, d).filter("winner < 20").groupBy("product_id").agg(F.count("*").alias("wins"))
+    claimed = views.evidence(spark, d).groupBy("product_id").agg(F.count("*").alias("claims"))
+    won = views.canonical(spark, d).filter("winner % 2 = 0").groupBy("product_id").agg(F.count("*").alias("wins"))
     out = views.products(spark, d).join(claimed, "product_id", "left").join(won, "product_id", "left")
     return out.select("product_id", F.when(F.col("claims").isNull(), "unknown").when(F.col("wins").isNull(), "claimed").otherwise("canonical").alias("state"))
 
@@ -218,17 +217,30 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j17_identity_by_rules",
-    "SELECT p.product_id AS source_product_id, coalesce(g.product_id, m.product_id) AS product_id, CASE WHEN g.product_id IS NOT NULL THEN 'gtin' WHEN m.product_id IS NOT NULL THEN 'brand_model' ELSE 'none' END AS rule,"
-    " CASE WHEN g.product_id IS NOT NULL THEN 1.0 WHEN m.product_id IS NOT NULL THEN 0.97 ELSE 0.0 END AS confidence FROM v_products p"
-    " LEFT JOIN (SELECT gtin, min(product_id) AS product_id FROM v_products WHERE product_id % 3 = 0 AND gtin IS NOT NULL GROUP BY gtin) g ON g.gtin = p.gtin"
-    " LEFT JOIN (SELECT category, brand, model_number, min(product_id) AS product_id FROM v_products WHERE product_id % 3 = 0 GROUP BY ALL) m ON m.category = p.category AND m.brand = p.brand AND m.model_number = p.model_number",
+    ", i AS (SELECT product_id AS id, CASE WHEN product_id % 4 > 0 THEN gtin END AS gtin, brand, CASE WHEN product_id % 5 = 0 THEN model_number || ' mk2' WHEN product_id % 5 = 1 THEN NULL ELSE model_number END AS model, title, CASE WHEN category = 'promo' THEN 'tablet' ELSE category END AS category, size,"
+    " CASE WHEN product_id % 2 = 0 THEN model_number || '-' || size END AS mpn FROM v_products), k AS (SELECT product_id, gtin, brand, model_number AS model, title, CASE WHEN category = 'promo' THEN 'tablet' ELSE category END AS category, size, model_number || '-' || size AS mpn FROM v_products WHERE product_id % 3 = 0),"
+    " r1 AS (SELECT id, min(product_id) AS product_id FROM i JOIN k USING (gtin) GROUP BY id), r2 AS (SELECT id, min(product_id) AS product_id FROM i JOIN k USING (category, mpn) WHERE category = 'tablet' AND coalesce(i.brand = k.brand, true) AND coalesce(i.model = k.model, true) GROUP BY id),"
+    " r3 AS (SELECT id, min(product_id) AS product_id FROM i JOIN k USING (brand, model) WHERE NOT (i.category = 'tablet' AND k.category = 'tablet' AND i.size <> k.size) GROUP BY id),"
+    " r4 AS (SELECT id, arg_min(product_id, (-n, product_id)) AS product_id FROM (SELECT id, product_id, CAST(i.size = k.size AS INTEGER) + CAST(i.title = k.title AS INTEGER) + CAST(coalesce(i.mpn = k.mpn, false) AS INTEGER) AS n, i.size <> k.size OR i.title <> k.title OR coalesce(i.mpn <> k.mpn, false) AS differs FROM i JOIN k USING (category, size, title)) WHERE n >= 2 AND NOT differs GROUP BY id),"
+    " m AS (SELECT id, product_id, i.model AS a, k.model AS b, i.title AS t, k.title AS u FROM i JOIN k USING (brand) WHERE (contains(i.model, k.model) OR contains(k.model, i.model)) AND NOT (i.category = 'tablet' AND k.category = 'tablet' AND i.size <> k.size)),"
+    " sim AS (SELECT id, product_id, CASE WHEN a = b THEN 1.0 ELSE 0.9 END AS model_sim, CASE WHEN lower(t) = lower(u) THEN 1.0 WHEN contains(lower(t), lower(u)) OR contains(lower(u), lower(t)) THEN 0.9 ELSE round(len(list_intersect(tt, uu)) / len(list_distinct(tt || uu)), 4) END AS title_sim"
+    " FROM (SELECT *, list_distinct(string_split(trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')), ' ')) AS tt, list_distinct(string_split(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')), ' ')) AS uu FROM m)),"
+    " r5 AS (SELECT id, arg_min(product_id, (-s, product_id)) AS product_id, max(s) AS s FROM (SELECT id, product_id, CASE WHEN model_sim >= 0.9 AND title_sim >= 0.45 THEN 0.91 ELSE round(0.20 + 0.45 * model_sim + 0.35 * title_sim, 4) END AS s FROM sim) WHERE s >= 0.86 GROUP BY id)"
+    " SELECT i.id AS source_product_id, coalesce(r1.product_id, r2.product_id, r3.product_id, r4.product_id, r5.product_id) AS product_id, CASE WHEN r1.id IS NOT NULL THEN 'gtin' WHEN r2.id IS NOT NULL THEN 'part_number' WHEN r3.id IS NOT NULL THEN 'brand_model' WHEN r4.id IS NOT NULL THEN 'attributes' WHEN r5.id IS NOT NULL THEN 'similarity' ELSE 'none' END AS rule,"
+    " CASE WHEN r1.id IS NOT NULL THEN 1.0 WHEN r2.id IS NOT NULL THEN 0.98 WHEN r3.id IS NOT NULL THEN 0.97 WHEN r4.id IS NOT NULL THEN 0.93 WHEN r5.id IS NOT NULL THEN least(0.99, round(0.60 + 0.35 * r5.s, 4)) ELSE 0.0 END AS confidence"
+    " FROM i LEFT JOIN r1 ON r1.id = i.id LEFT JOIN r2 ON r2.id = i.id LEFT JOIN r3 ON r3.id = i.id LEFT JOIN r4 ON r4.id = i.id LEFT JOIN r5 ON r5.id = i.id",
     "v_products",
 )
 def j17(spark: SparkSession, d: str) -> DataFrame:
-    p = views.products(spark, d)
-    incoming = p.select(F.col("product_id").alias("source_product_id"), "category", "gtin", "brand", "model_number", F.lit("").alias("title"))
-    known = p.filter("product_id % 3 = 0").select("product_id", "category", "gtin", "brand", "model_number", F.lit("").alias("title"))
-    return identity.match(incoming, known)
+    """Every product as a source states it (without a gtin, with another or no model number here and there) against a third of them."""
+    p, n = views.products(spark, d), F.col("product_id")
+    category = F.when(F.col("category") == "promo", "tablet").otherwise(F.col("category")).alias("category")
+    part_number = F.concat(F.col("model_number"), F.lit("-"), F.col("size").cast("string"))
+    model = F.when(n % 5 == 0, F.concat("model_number", F.lit(" mk2"))).when(n % 5 > 1, F.col("model_number"))
+    shared = [category, F.col("brand"), F.col("title"), F.col("size").cast("string").alias("size")]
+    incoming = p.select(n.alias("source_product_id"), *shared, F.when(n % 4 > 0, F.col("gtin")).alias("gtin"), model.alias("model_number"), F.when(n % 2 == 0, part_number).alias("manufacturer_part_number"))
+    known = p.filter(n % 3 == 0).select("product_id", *shared, "gtin", "model_number", part_number.alias("manufacturer_part_number"))
+    return identity.match(incoming, known, variant_keys=("size",), identity_keys=("size", "title", "manufacturer_part_number"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracet.functions import text, urls
+from veracet.functions import scores, text, urls
 from veracet.plans.catalog import query
 from veracet.sources import tables, views
 
@@ -57,12 +57,12 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s07_compare_and_set",
-    "SELECT item_id, attempts % 2 = 0 AS applied, CASE WHEN attempts % 2 = 0 THEN attempts + 1 ELSE attempts END AS revision_after FROM v_queue WHERE item_id % 7 = 0",
+    "SELECT item_id, attempts % 2 = 0 AS applied, CASE WHEN attempts % 2 = 0 THEN attempts + 1 ELSE attempts END AS revision_after FROM v_queue",
     "v_queue",
 )
 def s07(spark: SparkSession, d: str) -> DataFrame:
     q = views.queue(spark, d).select("item_id", F.col("attempts").alias("revision"))
-    wanted = q.filter("item_id % 7 = 0").withColumn("revision", F.when(F.col("revision") % 2 == 0, F.col("revision")).otherwise(F.col("revision") + 1))
+    wanted = q.withColumn("revision", F.when(F.col("revision") % 2 == 0, F.col("revision")).otherwise(F.col("revision") + 1))
     after, judged = tables.compare_and_set(q, wanted, ["item_id"])
     return judged.select("item_id", "applied").join(after.withColumnRenamed("revision", "revision_after"), "item_id")
 
@@ -245,14 +245,35 @@ def p15(spark: SparkSession, d: str) -> DataFrame:
     return views.products(spark, d).agg(F.count_if(text.is_blank("gtin")).alias("blank"), F.count_if(~text.is_blank("gtin")).alias("filled"))
 
 
+_STATES = ["queued", "running", "paused", "cancel_requested", "recoverable", "cancelled", "completed", "failed"]
+_CANDIDATES = ["pending", "probing", "awaiting_llm", "suggested", "auto_accepted", "manually_accepted", "dismissed", "archived", "superseded", "failed"]
+
+
 @query(
     "p16_state_guards",
-    "SELECT DISTINCT status, status = 'queued' AS can_start, status IN ('queued', 'processing') AS can_cancel, status IN ('completed') AS is_final FROM v_queue",
+    f"SELECT item_id, s IN ('queued', 'running') AS pause, s = 'paused' AS resume, s IN ('queued', 'paused') AS stop_at_once, s = 'running' AS request_stop, s IN ('cancelled', 'completed', 'failed') AS terminal, s NOT IN ('cancelled', 'completed', 'failed') AS active,"
+    " c = 'suggested' AS accept, c IN ('suggested', 'failed', 'archived') AS dismiss, c IN ('dismissed', 'archived') AS restore, c IN ('pending', 'probing', 'awaiting_llm') AS progress, c IN ('pending', 'probing', 'awaiting_llm', 'suggested', 'auto_accepted') AS supersede"
+    f" FROM (SELECT item_id, ({_STATES})[item_id % 8 + 1] AS s, ({_CANDIDATES})[item_id % 10 + 1] AS c FROM v_queue)",
     "v_queue",
 )
 def p16(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("status")
-    return views.queue(spark, d).select("status").distinct().withColumns({"can_start": s == "queued", "can_cancel": s.isin("queued", "processing"), "is_final": s == "completed"})
+    """Each queue item in turn as a run and as a candidate in one of their states, of any case."""
+    run = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("item_id") % 8 + 1).cast("int"))
+    candidate = F.initcap(F.element_at(F.array(*map(F.lit, _CANDIDATES)), (F.col("item_id") % 10 + 1).cast("int")))
+    of_run = [scores.may(run, a).alias(a) for a in scores.RUN_STATES]
+    return views.queue(spark, d).select("item_id", *of_run, *[scores.may(candidate, a, scores.CANDIDATE_STATES).alias(a) for a in scores.CANDIDATE_STATES])
+
+
+@query(
+    "t17_run_transitions",
+    "SELECT item_id, CASE WHEN a = 'pause' AND s IN ('queued', 'running') THEN 'paused' WHEN a = 'resume' AND s = 'paused' THEN 'queued' WHEN a = 'stop' AND s IN ('queued', 'paused') THEN 'cancelled' WHEN a = 'stop' AND s = 'running' THEN 'cancel_requested' ELSE s END AS after"
+    f" FROM (SELECT item_id, ({_STATES})[item_id % 8 + 1] AS s, (['pause', 'resume', 'stop', 'other'])[(item_id // 8) % 4 + 1] AS a FROM v_queue)",
+    "v_queue",
+)
+def t17(spark: SparkSession, d: str) -> DataFrame:
+    run = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("item_id") % 8 + 1).cast("int"))
+    action = F.element_at(F.array(*map(F.lit, ("pause", "resume", "stop", "other"))), F.expr("int(item_id div 8 % 4 + 1)"))
+    return views.queue(spark, d).select("item_id", scores.run_after(run, action).alias("after"))
 
 
 @query("p17_archive_eligible", "SELECT item_id FROM v_queue WHERE status = 'completed' AND coalesce(next_attempt, enqueued) <= TIMESTAMP '1996-06-01'", "v_queue")
@@ -340,8 +361,8 @@ def u01(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "u02_key_union",
-    "SELECT coalesce(a.product_id, b.product_id) AS product_id, a.value AS tax, b.value AS flag FROM (SELECT * FROM v_canonical WHERE attribute = 'tax' AND evidence > 15) a"
-    " FULL JOIN (SELECT * FROM v_canonical WHERE attribute = 'returnflag' AND evidence < 30) b ON a.product_id = b.product_id",
+    "SELECT product_id, max(value) FILTER (attribute = 'tax' AND evidence > 15) AS tax, max(value) FILTER (attribute = 'returnflag' AND evidence < 30) AS flag FROM v_canonical"
+    " WHERE (attribute = 'tax' AND evidence > 15) OR (attribute = 'returnflag' AND evidence < 30) GROUP BY product_id",
     "v_canonical",
 )
 def u02(spark: SparkSession, d: str) -> DataFrame:
@@ -353,14 +374,17 @@ def u02(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "u03_jaccard",
-    "SELECT a.product_id AS a_id, b.product_id AS b_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 4) AS score FROM (SELECT product_id, brand, list_distinct(string_split(lower(model_number), ' ')) AS t FROM v_products) a"
-    " JOIN (SELECT product_id, brand, list_distinct(string_split(lower(model_number), ' ')) AS t FROM v_products) b ON a.brand = b.brand AND a.product_id < b.product_id WHERE a.brand IN ('Brand#2', 'Brand#4')",
+    ", m AS (SELECT DISTINCT brand, model_number, list_distinct(string_split(lower(model_number), ' ')) AS t FROM v_products) SELECT a.brand, a.model_number AS a_model, b.model_number AS b_model, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 4) AS score"
+    " FROM m a JOIN m b ON a.brand = b.brand AND a.model_number < b.model_number AND len(list_intersect(a.t, b.t)) > 0",
     "v_products",
 )
 def u03(spark: SparkSession, d: str) -> DataFrame:
-    p = views.products(spark, d).filter(F.col("brand").isin("Brand#2", "Brand#4")).select("product_id", "brand", text.tokens("model_number").alias("t"))
-    a, b = p.select("brand", F.col("product_id").alias("a_id"), F.col("t").alias("ta")), p.select("brand", F.col("product_id").alias("b_id"), F.col("t").alias("tb"))
-    return a.join(b, "brand").filter("a_id < b_id").select("a_id", "b_id", text.jaccard(F.col("ta"), F.col("tb")).alias("score"))
+    """The different model numbers of a brand that share a token, not all pairs of its products."""
+    m = views.products(spark, d).select("brand", "model_number").distinct().withColumn("t", text.tokens("model_number"))
+    a = m.select("brand", F.col("model_number").alias("a_model"), F.col("t").alias("ta"), F.explode("t").alias("token"))
+    b = m.select("brand", F.col("model_number").alias("b_model"), F.col("t").alias("tb"), F.explode("t").alias("token"))
+    pairs = a.join(b, ["brand", "token"]).filter("a_model < b_model").dropDuplicates(["brand", "a_model", "b_model"])
+    return pairs.select("brand", "a_model", "b_model", text.jaccard(F.col("ta"), F.col("tb")).alias("score"))
 
 
 @query(
@@ -377,12 +401,12 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "u06_sequence_equality",
-    "SELECT user_id, list(event_type ORDER BY ts) = list(event_type ORDER BY ts DESC) AS palindrome, list_sort(list(event_type)) = list_sort(list(event_type)) AS same FROM events GROUP BY user_id",
+    "SELECT user_id, list(event_type ORDER BY ts) = list(event_type ORDER BY ts DESC) AS palindrome, list(event_type ORDER BY ts) = list(event_type ORDER BY value, event_id) AS same FROM events GROUP BY user_id",
 )
 def u06(spark: SparkSession, d: str) -> DataFrame:
-    g = views.table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_type"))).alias("s"))
-    kinds = F.transform("s", lambda x: x["event_type"])
-    return g.select("user_id", kinds.eqNullSafe(F.reverse(kinds)).alias("palindrome"), F.array_sort(kinds).eqNullSafe(F.array_sort(kinds)).alias("same"))
+    g = views.table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_type"))).alias("s"), F.array_sort(F.collect_list(F.struct("value", "event_id", "event_type"))).alias("v"))
+    kinds, by_value = F.transform("s", lambda x: x["event_type"]), F.transform("v", lambda x: x["event_type"])
+    return g.select("user_id", kinds.eqNullSafe(F.reverse(kinds)).alias("palindrome"), kinds.eqNullSafe(by_value).alias("same"))
 
 
 @query(

@@ -160,9 +160,9 @@ def f34(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", *[urls.resolved(F.lit(h), "at").alias(n) for n, h in (("plain", "b"), ("up", "../x"), ("rooted", "/top"), ("other", "//cdn.example.org/i"))])
 
 
-@query("f35_locales", f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'en-gb' END AS locale, CASE WHEN page_id % 3 = 0 THEN 'UK' END AS market FROM pages WHERE {_H} LIKE '%.com'")
+@query("f35_locales", f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'en-gb' END AS locale, CASE WHEN page_id % 3 = 0 THEN 'UK' END AS market FROM pages")
 def f35(spark: SparkSession, d: str) -> DataFrame:
-    p = views.table(spark, d, "pages").filter(urls.host("url").endswith(".com"))
+    p = views.table(spark, d, "pages")
     segment = F.when(F.col("page_id") % 2 == 0, "EN_gb").otherwise("engb")
     address = F.concat(F.lit("https://"), urls.host("url"), F.when(F.col("page_id") % 3 == 0, "/en-gb/x").otherwise("/x"))
     return p.select("page_id", urls.locale(segment).alias("locale"), urls.inferred_market(address).alias("market"))
@@ -224,11 +224,11 @@ def f53(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f60_measures",
-    "SELECT l_orderkey, l_linenumber, l_quantity AS qty, round(l_quantity / 2.54, 2) AS inches, CAST(round(l_quantity / 2.54, 2) + 0.5 AS BIGINT) - CASE WHEN round(l_quantity / 2.54, 2) + 0.5 < CAST(round(l_quantity / 2.54, 2) + 0.5 AS BIGINT) THEN 1 ELSE 0 END AS screen, round(l_quantity * 10, 2) AS mm FROM lineitem WHERE l_orderkey < 500",
+    "SELECT l_orderkey, l_linenumber, l_quantity AS qty, round(l_quantity / 2.54, 2) AS inches, CAST(round(l_quantity / 2.54, 2) + 0.5 AS BIGINT) - CASE WHEN round(l_quantity / 2.54, 2) + 0.5 < CAST(round(l_quantity / 2.54, 2) + 0.5 AS BIGINT) THEN 1 ELSE 0 END AS screen, round(l_quantity * 10, 2) AS mm FROM lineitem",
 )
 def f60(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" cm wide"))
-    li = views.table(spark, d, "lineitem").filter("l_orderkey < 500")
+    li = views.table(spark, d, "lineitem")
     return li.select("l_orderkey", "l_linenumber", measures.number(raw).alias("qty"), measures.measured(raw, "inch").alias("inches"), measures.screen_inches(raw).cast("long").alias("screen"), measures.measured(raw, "mm").alias("mm"))
 
 

@@ -13,11 +13,11 @@ from veracet.sources import tables, views
 
 @query(
     "m01_claim_confidence",
-    "SELECT product_id, source_id, attribute, round(least(0.99, greatest(0.05, confidence_pct / 100.0 + CASE WHEN contains('supplier#00000000' || source_id, '0000000' || (product_id % 100)) THEN 0.12 ELSE 0 END)), 4) AS confidence FROM v_evidence WHERE source_id BETWEEN 10 AND 99 AND attribute = 'tax'",
+    "SELECT product_id, source_id, attribute, round(least(0.99, greatest(0.05, confidence_pct / 100.0 + CASE WHEN contains('supplier#00000000' || source_id, '0000000' || (product_id % 100)) THEN 0.12 ELSE 0 END)), 4) AS confidence FROM v_evidence",
     "v_evidence",
 )
 def m01(spark: SparkSession, d: str) -> DataFrame:
-    e = views.evidence(spark, d).filter("source_id between 10 and 99 and attribute = 'tax'")
+    e = views.evidence(spark, d)
     source = F.concat(F.lit("Supplier#00000000"), F.col("source_id").cast("string"))
     brand = F.concat(F.lit("0000000"), (F.col("product_id") % 100).cast("string"))
     return e.select("product_id", "source_id", "attribute", scores.candidate_confidence(F.col("confidence_pct") / 100, source, brand).alias("confidence"))
@@ -59,11 +59,11 @@ def m05(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m06_merge_weight",
-    "SELECT product_id, source_id, attribute, least(1.0, greatest(0.05, round(0.72 * 0.9 * (confidence_pct / 100.0) * 0.9 * 1.0 * CASE WHEN age <= 30 THEN 0.88 WHEN age <= 90 THEN 0.76 ELSE 0.65 END, 4))) AS weight FROM (SELECT *, date_diff('day', observed, TIMESTAMP '2002-06-01') AS age FROM v_evidence WHERE observed < TIMESTAMP '2002-05-01' AND attribute = 'tax')",
+    "SELECT product_id, source_id, attribute, least(1.0, greatest(0.05, round(0.72 * 0.9 * (confidence_pct / 100.0) * 0.9 * 1.0 * CASE WHEN age <= 30 THEN 0.88 WHEN age <= 90 THEN 0.76 ELSE 0.65 END, 4))) AS weight FROM (SELECT *, date_diff('day', observed, TIMESTAMP '2002-06-01') AS age FROM v_evidence)",
     "v_evidence",
 )
 def m06(spark: SparkSession, d: str) -> DataFrame:
-    e = views.evidence(spark, d).filter((F.col("observed") < F.lit("2002-05-01").cast("timestamp")) & (F.col("attribute") == "tax"))
+    e = views.evidence(spark, d)
     none = F.lit(None).cast("double")
     w = scores.merge_weight(none, F.lit(0.9), F.col("confidence_pct") / 100, none, none, scores.recency_factor(F.col("observed"), F.lit("2002-06-01").cast("timestamp")))
     return e.select("product_id", "source_id", "attribute", w.alias("weight"))
@@ -82,30 +82,27 @@ def m11(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m13_disagreement_adjustment",
-    "SELECT source_id, attribute, least(1.20, greatest(0.45, round(CAST(1 - 0.5 * dr + 0.25 * wr AS DECIMAL(28,10)), 4))) AS adjustment FROM (SELECT e.source_id, e.attribute, round(count(*) FILTER (e.value <> c.value) / count(*), 4) AS dr, round(count(*) FILTER (e.source_id = c.winner) / count(*), 4) AS wr"
-    " FROM v_evidence e JOIN v_canonical c ON e.product_id = c.product_id AND e.attribute = c.attribute AND e.category = 'promo' AND c.evidence > 1 GROUP BY ALL)",
+    "SELECT source_id, category, attribute, least(1.20, greatest(0.45, round(CAST(1 - 0.5 * dr + 0.25 * wr AS DECIMAL(28,10)), 4))) AS adjustment FROM (SELECT e.source_id, e.category, e.attribute, round(count(*) FILTER (e.value <> c.value) / count(*), 4) AS dr, round(count(*) FILTER (e.source_id = c.winner) / count(*), 4) AS wr"
+    " FROM v_evidence e JOIN v_canonical c ON e.product_id = c.product_id AND e.attribute = c.attribute AND c.evidence > 1 GROUP BY ALL)",
     "v_evidence v_canonical",
 )
 def m13(spark: SparkSession, d: str) -> DataFrame:
-    c = quality.disagreements(views.evidence(spark, d).filter("category = 'promo'"), views.canonical(spark, d))
-    return c.select("source_id", "attribute", scores.disagreement_adjustment(F.col("disagreement_rate"), F.col("win_rate")).alias("adjustment"))
+    c = quality.disagreements(views.evidence(spark, d), views.canonical(spark, d))
+    return c.select("source_id", "category", "attribute", scores.disagreement_adjustment(F.col("disagreement_rate"), F.col("win_rate")).alias("adjustment"))
 
 
 @query(
     "m14_queue_priorities",
     "SELECT item_id, priority, row_number() OVER (ORDER BY priority DESC, attempts DESC, enqueued, item_id) AS rank FROM (SELECT *, round(importance * 30 + 0.5 * 30 + least(1.0, attempts / 4) * 25 + CASE WHEN attempts = 0 THEN round(s * 0.55, 4) ELSE s END * 15, 2) AS priority"
-    " FROM (SELECT *, CASE WHEN age >= 30 THEN 1.0 WHEN age >= 14 THEN 0.85 WHEN age >= 7 THEN 0.70 WHEN age >= 1 THEN 0.45 ELSE 0.20 END AS s FROM (SELECT *, date_diff('day', enqueued, TIMESTAMP '1999-06-01') AS age FROM v_queue WHERE status = 'queued'))) QUALIFY rank <= 200",
+    " FROM (SELECT *, CASE WHEN age >= 30 THEN 1.0 WHEN age >= 14 THEN 0.85 WHEN age >= 7 THEN 0.70 WHEN age >= 1 THEN 0.45 ELSE 0.20 END AS s FROM (SELECT *, date_diff('day', enqueued, TIMESTAMP '1999-06-01') AS age FROM v_queue WHERE status = 'queued')))",
     "v_queue",
 )
 def m14(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     q = views.queue(spark, d).filter("status = 'queued'")
     stale = scores.adaptive_staleness(scores.staleness(F.col("enqueued"), F.lit("1999-06-01").cast("timestamp")), F.lit(0.95), F.col("attempts"))
     q = q.withColumn("priority", scores.crawl_priority(F.col("importance"), F.lit(0.5), F.least(F.lit(1.0), F.col("attempts") / 4), stale))
     order = [F.desc("priority"), F.desc("attempts"), "enqueued", "item_id"]
-    top = q.orderBy(*order).limit(200)  # the report's size; the rank below is over these rows alone
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("item_id", "priority", "rank")
+    return tables.ranked(q, order).select("item_id", "priority", "rank")
 
 
 @query(
@@ -243,3 +240,46 @@ def m27(spark: SparkSession, d: str) -> DataFrame:
 def m28(spark: SparkSession, d: str) -> DataFrame:
     g = views.products(spark, d).groupBy("brand").agg(F.countDistinct("category").alias("c"), F.countDistinct("model_number").alias("m"))
     return g.select("brand", scores.signal_score(F.col("c"), F.lit(1), F.col("m"), F.col("brand").contains("1")).cast("long").alias("score"))
+
+
+_KEYS = ["brand", "model_number", "gtin", "tax", "quantity", "size"]
+
+
+@query(
+    "m04_completeness",
+    "SELECT p.product_id, CASE WHEN category = 'promo' THEN least(1.0, (coalesce(n, 0) + 2 + CASE WHEN gtin IS NULL THEN 0 ELSE 1 END) / 8.0) ELSE (2 + CASE WHEN gtin IS NULL THEN 0 ELSE 1 END + coalesce(tax, 0) + coalesce(quantity, 0)) / 6.0 END AS completeness"
+    " FROM v_products p LEFT JOIN (SELECT product_id, count(*) AS n, count(*) FILTER (attribute = 'tax') AS tax, count(*) FILTER (attribute = 'quantity') AS quantity FROM v_canonical WHERE product_id % 3 > 0 OR attribute <> 'tax' GROUP BY 1) c USING (product_id)",
+    "v_products v_canonical",
+)
+def m04(spark: SparkSession, d: str) -> DataFrame:
+    """A category (promo) has no keys; every third product has no tax."""
+    values = views.canonical(spark, d).filter("product_id % 3 > 0 or attribute <> 'tax'").groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "value"))).alias("values"))
+    rows = views.products(spark, d).join(values, "product_id", "left")
+    keys = F.when(F.col("category") != "promo", F.array(*map(F.lit, _KEYS)))
+    held = F.coalesce("values", F.create_map().cast("map<string,string>"))
+    return rows.select("product_id", scores.completeness(held, keys, F.col("brand"), F.col("model_number"), F.col("gtin")).alias("completeness"))
+
+
+@query(
+    "m07_existing_weight",
+    "SELECT product_id, attribute, least(1.0, greatest(0.05, CASE WHEN product_id % 4 = 0 THEN 0.4 ELSE round(CAST(CASE WHEN product_id % 3 = 0 THEN 0.72 ELSE 0.8 END * (confidence_pct / 100.0) * CASE WHEN product_id % 5 = 0 THEN confidence_pct / 100.0 ELSE 0.6 END * 0.90"
+    " * CASE WHEN age <= 1 THEN 1.0 WHEN age <= 7 THEN 0.96 WHEN age <= 30 THEN 0.88 WHEN age <= 90 THEN 0.76 ELSE 0.65 END AS DECIMAL(28,10)), 4) END)) AS weight FROM (SELECT *, date_diff('day', last_observed, TIMESTAMP '2001-11-10') AS age FROM v_canonical)",
+    "v_canonical",
+)
+def m07(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that a value lacks are null or zero here and there."""
+    n, zero = F.col("product_id"), F.lit(0.0)
+    own = F.col("confidence_pct") / 100
+    recency = scores.recency_factor(F.col("last_observed"), F.lit("2001-11-10").cast("timestamp"))
+    w = scores.existing_weight(F.when(n % 4 == 0, 0.4).otherwise(zero), F.when(n % 3 != 0, 0.8), zero, F.when(n % 5 != 0, 0.6), F.lit(None).cast("double"), own, recency)
+    return views.canonical(spark, d).select("product_id", "attribute", w.alias("weight"))
+
+
+@query(
+    "f23_suggestion_confidence",
+    "SELECT user_id, CASE WHEN score >= 0.60 THEN least(0.99, round(CAST(score + least(0.15, days / 30 * 0.15) + least(0.10, n / 20 * 0.10) AS DECIMAL(28,10)), 2)) END AS confidence FROM"
+    " (SELECT user_id, count(*) AS n, 0.5 + (user_id % 5) / 10 AS score, greatest(1.0, date_diff('microsecond', min(ts), max(ts)) / 86400000000 + 1) AS days FROM events GROUP BY user_id)",
+)
+def f23(spark: SparkSession, d: str) -> DataFrame:
+    seen = views.table(spark, d, "events").groupBy("user_id").agg(F.min(F.col("ts").cast("timestamp")).alias("a"), F.max(F.col("ts").cast("timestamp")).alias("b"), F.count("*").alias("n"))
+    return seen.select("user_id", scores.suggestion_confidence(0.5 + F.col("user_id") % 5 / 10, F.col("a"), F.col("b"), F.col("n")).alias("confidence"))

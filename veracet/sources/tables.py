@@ -5,6 +5,7 @@ Every function takes and returns DataFrames; nothing is collected.  Paths may be
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -129,3 +130,36 @@ def robots_blocks(rules: Column, path: Column) -> Column:
         return F.coalesce(F.array_max(F.transform(fits, lambda r: F.length(r["path"]))), F.lit(0))
 
     return longest(False) > longest(True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder: its plan is cut there, and both uses of it see the same rows.
+
+    The folder is that of the context or of spark.checkpoint.dir; where both are unset a local master gets one of its own, and on a
+    cluster that is an error, as executors don't see the driver's folders.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="veracet-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds rank, 1 for the first of all rows in order; ties are in any order, so order should have none.
+
+    Rows are dealt by ranges of the order and numbered in each; a range begins after the counts of those before it, and those
+    counts alone meet in one window.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    within = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_range", before.alias("_before"))
+    return within.join(counts, "_range").withColumn("rank", (F.col("_in") + F.col("_before")).cast("int")).drop("_range", "_in", "_before")

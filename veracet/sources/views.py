@@ -39,39 +39,63 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per statement: product_id, source_id, category, attribute, value, confidence, observed, and the order columns seq and line.
+# Attributes that every line states, with its column of ``_lines``.
+STATED = ("unit_price", "quantity", "tax", "returnflag", "linestatus")
+_LINE = ["product_id", "source_id", "category", "confidence_pct", "observed", "seq", "line"]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line: its keys and order, and what it states of each attribute.
 
     Numbers are in cents, as text, so that equal values have equal texts.
     """
-    line = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("category"))
 
-    facts = F.expr(
-        "stack(5, 'unit_price', cast(cast(floor(l_extendedprice / l_quantity * 100 + 0.5) as bigint) as string), 'quantity', cast(cast(floor(l_quantity * 100 + 0.5) as bigint) as string),"
-        " 'tax', cast(cast(floor(l_tax * 100 + 0.5) as bigint) as string), 'returnflag', l_returnflag, 'linestatus', l_linestatus) as (attribute, value)"
-    )
-    return line.join(part, "l_partkey").select(
-        F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("source_id"), "category", facts, F.expr("cast(round(100 - l_discount * 100) as int)").alias("confidence_pct"),
-        F.col("l_shipdate").alias("observed"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("line"),
+    def cents(value: str) -> F.Column:
+        return F.expr(f"cast(cast(floor({value} * 100 + 0.5) as bigint) as string)")
+
+    return table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(
+        F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("source_id"), "category", F.expr("cast(round(100 - l_discount * 100) as int)").alias("confidence_pct"),
+        F.col("l_shipdate").alias("observed"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("line"), cents("l_extendedprice / l_quantity").alias("unit_price"),
+        cents("l_quantity").alias("quantity"), cents("l_tax").alias("tax"), F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"),
     )
 
 
+def _stated(lines: DataFrame) -> DataFrame:
+    """A row per attribute that a line states."""
+    facts = ", ".join(f"'{a}', {a}" for a in STATED)
+    return lines.select(*_LINE[:3], F.expr(f"stack({len(STATED)}, {facts}) as (attribute, value)"), *_LINE[3:])
+
+
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest line of each (product, source): as a line states all attributes, it has the newest claim of each."""
+    return latest(_lines(spark, sf_dir), ["product_id", "source_id"], F.desc("observed"), F.asc("seq"), F.asc("line"), *[F.asc(a) for a in STATED], F.asc("confidence_pct"))
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per statement: product_id, source_id, category, attribute, value, confidence, observed, and the order columns seq and line."""
+    return _stated(_lines(spark, sf_dir))
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest claim of each (product, source, attribute)."""
-    order = [F.desc("observed"), F.asc("seq"), F.asc("line"), F.asc("value"), F.asc("confidence_pct")]
-    return latest(claims(spark, sf_dir), ["product_id", "source_id", "attribute"], *order)
+    return _stated(_newest(spark, sf_dir))
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """product_id, category, attribute, value, confidence_pct, evidence, n_values, has_conflict: the most confident claim wins."""
-    e = evidence(spark, sf_dir)
-    best = F.max(F.struct("confidence_pct", "observed", F.col("source_id"), F.col("value")))
-    out = e.groupBy("product_id", "category", "attribute").agg(best.alias("w"), F.count("*").alias("evidence"), F.countDistinct("value").alias("n_values"), F.max("observed").alias("last_observed"))
-    return out.select(
-        "product_id", "category", "attribute", F.col("w.value").alias("value"), F.col("w.confidence_pct").alias("confidence_pct"), F.col("w.source_id").alias("winner"), "evidence", "n_values",
-        (F.col("n_values") > 1).alias("has_conflict"), "last_observed",
-    )
+    """product_id, category, attribute, value, confidence_pct, evidence, n_values, has_conflict: the most confident claim wins.
+
+    The newest line with the highest confidence wins all attributes of its product; how many values an attribute has is
+    counted by (product, attribute, value), combined before the shuffle.
+    """
+    lines = _newest(spark, sf_dir)
+    best = F.max(F.struct("confidence_pct", "observed", "source_id", *STATED))
+    won = lines.groupBy("product_id", "category").agg(best.alias("w"), F.count("*").alias("evidence"), F.max("observed").alias("last_observed"))
+    facts = ", ".join(f"'{a}', w.{a}" for a in STATED)
+    won = won.select("product_id", "category", F.expr(f"stack({len(STATED)}, {facts}) as (attribute, value)"), F.col("w.confidence_pct").alias("confidence_pct"), F.col("w.source_id").alias("winner"), "evidence", "last_observed")
+    values = _stated(lines).groupBy("product_id", "category", "attribute").agg(F.countDistinct("value").alias("n_values"))
+    out = won.join(values, ["product_id", "category", "attribute"])
+    return out.select("product_id", "category", "attribute", "value", "confidence_pct", "winner", "evidence", "n_values", (F.col("n_values") > 1).alias("has_conflict"), "last_observed")
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
