@@ -129,18 +129,24 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return views.logs(spark, d).groupBy("source_name").agg(F.max("ts").alias("last_seen"), F.max_by("url", "ts").alias("last_url"))
 
 
+def _classes_sql(rows: str, ways: dict[str, str]) -> str:
+    """SQL of ``discovery.duplicate_classes``: rows is a relation with id, ways the keys as expressions."""
+    keyed = " UNION ALL ".join(f"SELECT DISTINCT '{w}' AS way, id, {key} AS key FROM {rows} WHERE {key} IS NOT NULL" for w, key in ways.items())
+    return f"SELECT way, min(id) OVER w AS representative, id FROM ({keyed}) WINDOW w AS (PARTITION BY way, key) QUALIFY count(*) OVER w > 1"
+
+
+_PRODUCT_WAYS = {"gtin": ["gtin"], "title": ["title"], "brand_model": ["brand", "model_number"]}
+
+
+# j12, j14 and j15 are over the whole tables: a class of duplicates is its members with their representative, as pairs
+# would grow with the square of a class.
 @query(
     "j12_any_of_three",
-    "SELECT DISTINCT p.product_id, q.product_id AS other FROM v_products p JOIN v_products q ON p.product_id <> q.product_id AND p.product_id < 60 AND q.product_id < 60 AND"
-    " (p.gtin = q.gtin OR p.title = q.title OR (p.brand = q.brand AND p.model_number = q.model_number))",
+    ", p AS (SELECT *, product_id AS id FROM v_products) " + _classes_sql("p", {"gtin": "gtin", "title": "title", "brand_model": "brand || '|' || model_number"}),
     "v_products",
 )
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    p = views.products(spark, d).filter("product_id < 60")
-    q = p.select(F.col("product_id").alias("other"), F.col("gtin").alias("g"), F.col("title").alias("t"), F.col("brand").alias("b"), F.col("model_number").alias("m"))
-    ways = [F.col("gtin") == F.col("g"), F.col("title") == F.col("t"), (F.col("brand") == F.col("b")) & (F.col("model_number") == F.col("m"))]
-    found = [p.join(q, w & (F.col("product_id") != F.col("other"))).select("product_id", "other") for w in ways]
-    return found[0].union(found[1]).union(found[2]).distinct()
+    return discovery.duplicate_classes(views.products(spark, d).withColumnRenamed("product_id", "id"), _PRODUCT_WAYS)
 
 
 @query("j13_logs_of_known", "SELECT count(*) AS logs, count(DISTINCT source_name) AS sources FROM v_logs WHERE source_name IN (SELECT 'u' || (s_suppkey % 40) FROM supplier)", "v_logs")
@@ -163,45 +169,23 @@ _HOSTS = (
 )
 
 
-@query(
-    "j14_registered_duplicates",
-    f"WITH {_HOSTS} SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM h a JOIN h b ON b.id % 10 = 0 AND a.id % 10 = 1 AND (a.host = b.host OR a.base = b.base OR (split_part(a.host, '.', -2) = split_part(b.host, '.', -2) AND a.market = b.market))",
-)
-def j14(spark: SparkSession, d: str) -> DataFrame:
-    h = _hosts(spark, d)
-    return discovery.potential_duplicates(h.filter("id % 10 = 1"), h.filter("id % 10 = 0"))
-
-
-@query(
-    "j15_self_duplicates",
-    f"WITH {_HOSTS} SELECT count(*) AS pairs FROM (SELECT DISTINCT a.id, b.id FROM h a JOIN h b ON a.id <> b.id AND a.id < 120 AND b.id < 120 AND (a.host = b.host OR a.base = b.base OR (split_part(a.host, '.', -2) = split_part(b.host, '.', -2) AND a.market = b.market)))",
-)
-def j15(spark: SparkSession, d: str) -> DataFrame:
-    h = _hosts(spark, d).filter("id < 120")
-    return discovery.potential_duplicates(h, h).filter("a_id <> b_id").agg(F.count("*").alias("pairs"))
-
-
-_PRODUCT_WAYS = {"gtin": ["gtin"], "title": ["title"], "brand_model": ["brand", "model_number"]}
-
-
 def _page_ways() -> dict[str, list]:
     return {"host": ["host"], "base": ["base"], "name": [discovery.name_key("name"), F.col("markets")[0]]}
 
 
-# j12, j14 and j15 over the whole tables, without SQL: a join that lists the pairs grows with the square of a class.
-@query("j12_any_of_three_whole")
-def j12_whole(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.products(spark, d).withColumnRenamed("product_id", "id")
-    return discovery.duplicate_classes(rows, _PRODUCT_WAYS)
+_NAME = "regexp_replace(split_part(host, '.', -2), '[^a-z0-9]', '', 'g') || '|' || market"
 
 
-@query("j14_registered_duplicates_whole")
-def j14_whole(spark: SparkSession, d: str) -> DataFrame:
+@query("j14_registered_duplicates", f"WITH {_HOSTS} " + _classes_sql("h", {"host": "host", "base": "base", "name": _NAME}))
+def j14(spark: SparkSession, d: str) -> DataFrame:
     return discovery.duplicate_classes(_hosts(spark, d), _page_ways())
 
 
-@query("j15_self_duplicates_whole")
-def j15_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(
+    "j15_self_duplicates",
+    f"WITH {_HOSTS}, k AS (SELECT *, {_NAME} AS name FROM h) SELECT count(*) AS pairs FROM (SELECT DISTINCT a.id, b.id FROM k a JOIN k b ON a.id <> b.id AND (a.host = b.host OR a.base = b.base OR a.name = b.name))",
+)
+def j15(spark: SparkSession, d: str) -> DataFrame:
     return discovery.pair_count(_hosts(spark, d), _page_ways())
 
 
