@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from veracet.operators import discovery, extraction, identity, merging
+from veracet.operators import discovery, extraction, identity, merging, products
 from veracet.sources import tables
 
 
@@ -77,12 +77,40 @@ def test_delta_of_versions(spark):
 
 def test_json_ld_with_graph_reference_and_bad_script(spark):
     html = (
-        '<script type="application/ld+json">[{"@type": ["Thing", "Product"], "name": "N"}, {"@type": "Product", "name": "P", "brand": "B", "sku": "s1", "offers": {"@id": "#1"}},'
-        ' {"@type": "Offer", "@id": "#1", "price": "9.50", "priceCurrency": "EUR"}]</script><script type="application/ld+json">{oops</script>'
+        '<script type="application/ld+json">[{"@type": ["Thing", "Product"], "name": "N"}, {"@graph": {"@graph": [{"@type": "https://schema.org/Product", "title": "P", "brand": {"name": "B"}, "sku": "s1", "offers": [{"@id": "#1"}, {"@id": "#2"}],'
+        ' "additionalProperty": [{"propertyID": "w", "value": 5}, {"name": "", "value": "x"}]}]}}, {"@type": "Offer", "@id": "#1", "price": "1,009.50", "priceCurrency": "EUR"}]</script><script type="application/ld+json">{oops</script>'
     )
-    pages = spark.createDataFrame([(1, "u", html), (2, "v", None), (3, "w", "<p>no data</p>")], "page_id int, url string, html string")
-    got = extraction.json_ld_products(pages).filter("name = 'P'").collect()
-    assert [(r["brand"], r["model"], r["price"], r["currency"]) for r in got] == [("B", "s1", 9.5, "EUR")]
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", None), (3, "w", "<p>no data</p>"), (4, "x", "")], "page_id int, url string, html string").withColumn("name", F.lit(1))
+    got = products.extract_products(pages).collect()
+    assert [(r["page_id"], r["product_no"], r["name"], r["brand"], r["model"]) for r in got] == [(1, 1, "N", None, None), (1, 2, "P", "B", "s1")]
+    assert got[1]["attributes"] == {"sku": "s1", "w": "5"}
+    assert [tuple(o) for o in got[1]["offers"]] == [(1009.5, "EUR", None)]
+
+
+def test_microdata_is_nested_and_merged():
+    html = """<div itemscope itemtype="http://schema.org/Product"><h1 itemprop="name">TV <b>X</b></h1><div itemprop="brand" itemscope itemtype="http://schema.org/Brand"><span itemprop="name">Acme</span></div>
+      <meta itemprop="gtin13" content="77"><span itemprop="color">red</span><div itemprop="additionalProperty" itemscope><i itemprop="name">Width</i><i itemprop="value">5 mm</i></div>
+      <div itemprop="offers" itemscope itemtype="http://schema.org/Offer"><span itemprop="price" content="9.5">9,50</span><meta itemprop="priceCurrency" content="EUR"></div></div>
+      <script type="application/ld+json">{"@type": "Product", "gtin": "77", "name": "json name", "additionalProperty": {"name": "color", "value": "blue"}}</script>
+      <script type="application/ld+json">{"@type": "Product", "brand": "acme", "name": "tv x", "model": "m1"}</script>"""
+    got = products.page_products(html)
+    assert [(p["name"], p["brand"], p["gtin"], p["model"]) for p in got] == [("json name", "Acme", "77", ""), ("tv x", "acme", "", "m1")]
+    assert got[0]["attributes"] == {"color": "red", "Width": "5 mm"}
+    assert got[0]["offers"] == [{"price": 9.5, "currency": "EUR", "availability": None}]
+
+
+def test_specifications_need_a_sale_and_two_properties(spark):
+    rows = "<table><tr><th>Width<td>5<tr><td>Depth</td><td>6</td></tr></table>"
+    assert products.page_products(f"<h1>T</h1>{rows}<p>price</p>")[0]["attributes"] == {"Width": "5", "Depth": "6"}
+    assert products.page_products(f"<h1>T</h1>{rows}<p>story</p>") == []
+    assert products.page_products(f"{rows}<p>price</p>") == []
+    assert products.page_products("<h1>T</h1><dl><dt>EAN<dd>12</dl><p>price</p>")[0]["gtin"] == "12"
+    assert products.page_products("<h1>T</h1><dl><dt>Hue<dd>12</dl><p>price</p>") == []
+    assert products.page_products("<div>" * 5000 + "x") == []
+    pages = spark.createDataFrame([(1, "u", f"<h1>T</h1>{rows}<p>price 5 GBP</p>")], "page_id int, url string, html string")
+    schema = spark.createDataFrame([("width",)], "attribute string")
+    got = products.source_products(products.extract_products(pages), "s", "tv", schema).first()
+    assert (got["mapped"], got["unmapped"], got["offers"][0]["price"], len(got["source_product_id"])) == ({"width": "5"}, {"Depth": "6"}, 5.0, 19)
 
 
 def test_table_attributes(spark):

@@ -1,4 +1,4 @@
-"""Structured products in pages: JSON-LD by the variant functions; microdata and specification tables by an Arrow UDF."""
+"""Attributes, prices and plain text of pages; ``products`` has the products that they describe."""
 
 from __future__ import annotations
 
@@ -10,47 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SCRIPT = "(?is)<script[^>]*type\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
-
-
-def json_ld_nodes(pages: DataFrame) -> DataFrame:
-    """page_id, url, node (variant): every object of the page's JSON-LD, arrays and @graph opened; bad JSON is skipped."""
-    bodies = pages.select("page_id", "url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_SCRIPT), F.lit(1))).alias("body"))
-    parsed = bodies.select("page_id", "url", F.try_parse_json("body").alias("v")).filter("v is not null")
-    opened = parsed.selectExpr("page_id", "url", "case when schema_of_variant(v) like 'ARRAY%' then try_variant_get(v, '$', 'array<variant>') else array(v) end as vs")
-    tops = opened.select("page_id", "url", F.explode("vs").alias("v"))
-    graph = tops.selectExpr("page_id", "url", "v", "try_variant_get(v, '$[\"@graph\"]', 'array<variant>') as g")
-    return graph.selectExpr("page_id", "url", "explode(case when g is null then array(v) else g end) as node")
-
-
-def json_ld_products(pages: DataFrame) -> DataFrame:
-    """page_id, url, name, brand, gtin, model, sku, price, currency of each Product; offers given by @id are looked up in the page."""
-    nodes = json_ld_nodes(pages)
-    kind = "regexp_replace(lower(coalesce(try_variant_get(node, '$[\"@type\"]', 'string'), try_variant_get(node, '$[\"@type\"][0]', 'string'))), '^.*[/#]', '')"
-    typed = nodes.selectExpr("page_id", "url", "node", f"{kind} as kind")
-    get = lambda *paths: "coalesce(" + ", ".join(f"try_variant_get(node, '{p}', 'string')" for p in paths) + ", cast(null as string))"
-    products = typed.filter("kind = 'product'").selectExpr(
-        "page_id", "url", f"{get('$.name', '$.title')} as name", f"{get('$.brand.name', '$.brand[0].name', '$.brand')} as brand",
-        f"{get('$.gtin', '$.gtin13', '$.gtin14', '$.gtin12', '$.gtin8')} as gtin", f"{get('$.model', '$.mpn', '$.sku')} as model", f"{get('$.sku')} as sku",
-        f"{get('$.offers.price', '$.offers[0].price')} as own_price", f"{get('$.offers.priceCurrency', '$.offers[0].priceCurrency')} as own_currency",
-        "coalesce(try_variant_get(node, '$.offers[\"@id\"]', 'string'), try_variant_get(node, '$.offers[0][\"@id\"]', 'string')) as offer_id",
-    )
-    offers = typed.filter("kind = 'offer'").selectExpr("page_id", "try_variant_get(node, '$[\"@id\"]', 'string') as offer_id", f"{get('$.price')} as p", f"{get('$.priceCurrency')} as c")
-    out = products.join(offers, ["page_id", "offer_id"], "left")
-    return out.selectExpr("page_id", "url", "name", "brand", "gtin", "model", "sku", "try_cast(coalesce(own_price, p) as double) as price", "coalesce(own_currency, c) as currency")
-
-
-def merged_products(found: DataFrame) -> DataFrame:
-    """Products of a page that are one: by gtin, else model and brand, else name and brand; the first value there is of each field."""
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    key = (
-        F.when(low("gtin") != "", F.concat(F.lit("g:"), low("gtin"))).when((low("model") != "") & (low("brand") != ""), F.concat_ws(":", F.lit("m"), low("model"), low("brand")))
-        .otherwise(F.concat_ws(":", F.lit("n"), low("name"), low("brand")))
-    )
-    fields = [c for c in found.columns if c not in ("page_id", "url")]
-    return found.withColumn("key", key).groupBy("page_id", "url", "key").agg(*[F.min(c).alias(c) for c in fields], F.count("*").alias("merged"))
-
-
 _ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.I | re.S)
 _CELL = re.compile(r"<t[hd]\b[^>]*>(.*?)</t[hd]>", re.I | re.S)
 _TERM = re.compile(r"<dt\b[^>]*>(.*?)</dt>\s*<dd\b[^>]*>(.*?)</dd>", re.I | re.S)

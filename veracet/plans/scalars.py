@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracet.functions import measures, scores, text, urls
-from veracet.operators import discovery, extraction, quality
+from veracet.operators import discovery, extraction, products, quality
 from veracet.plans.catalog import query
 from veracet.sources import views
 
@@ -168,19 +168,41 @@ def f35(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", urls.locale(segment).alias("locale"), urls.inferred_market(address).alias("market"))
 
 
-@query("f40_json_ld_products", None)
+@query(
+    "f40_json_ld_products",
+    "SELECT page_id, url, 'P' || page_id AS name, 'B' AS brand, CAST(page_id AS VARCHAR) AS gtin, 'm ' || (page_id % 7) AS model, page_id + 0.5 AS price, 'GBP' AS currency, '5 mm' AS width, 'json-ld' AS origin FROM pages",
+)
 def f40(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of the table with JSON-LD put in, as they have none: products, offers by reference, bad scripts skipped."""
+    """Pages of the table with JSON-LD put in, as they have none: nested graphs, types by address, offers by reference, a second
+    description of the same product, bad scripts."""
     p = views.table(spark, d, "pages").select("page_id", "url")
     body = F.format_string(
-        '<script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "P%1$d", "brand": {"name": "B"}, "gtin13": "%1$d", "offers": {"@id": "#o"}}, {"@type": "http://schema.org/Offer", "@id": "#o", "price": "%1$d.5", "priceCurrency": "GBP"}]}'
-        '</script><script type="application/ld+json">{bad</script>', F.col("page_id"),
+        '<script type="application/ld+json">{"@graph": [[{"@type": ["Thing", "http://schema.org/Product"], "name": "P%1$d", "brand": [{"name": "B"}], "gtin13": "%1$d", "offers": {"@id": "#o"}, "additionalProperty": [{"name": "width", "value": "5 mm"}]},'
+        ' {"@graph": [{"@type": "http://schema.org/Offer", "@id": "#o", "price": "%1$d.5", "priceCurrency": "GBP"}]}]]}</script><script type="application/ld+json">{bad</script>'
+        '<div itemscope itemtype="https://schema.org/Product"><b itemprop="gtin">%1$d</b><i itemprop="name">other</i><span itemprop="model">m %2$d</span></div>', F.col("page_id"), F.col("page_id") % 7,
     )
-    return extraction.merged_products(extraction.json_ld_products(p.withColumn("html", body)))
+    found = products.extract_products(p.withColumn("html", body))
+    return found.select("page_id", "url", "name", "brand", "gtin", "model", F.col("offers")[0]["price"].alias("price"), F.col("offers")[0]["currency"].alias("currency"), F.element_at("attributes", "width").alias("width"), "origin")
 
 
-@query("f46_table_attributes", None)
+@query(
+    "f46_specification_products",
+    "SELECT page_id, 'P ' || page_id AS name, page_id || ' mm' AS width, 'black & red' AS colour, 'X' || page_id AS model, 19.5 AS price, 'specification' AS origin FROM pages WHERE page_id % 2 = 0",
+)
 def f46(spark: SparkSession, d: str) -> DataFrame:
+    """Every second page says that it is for sale; the others have no product."""
+    p = views.table(spark, d, "pages").select("page_id", "url")
+    body = F.concat(
+        F.format_string('<h1>P %1$d</h1><table><tr><th>Width:</th><td>%1$d mm<tr><td>only one</table><dl><dt>Colour<dd>black &amp; red</dl><ul class="tech-list"><li>Model No: X%1$d<li>no pair</ul>', F.col("page_id")),
+        F.when(F.col("page_id") % 2 == 0, "<p>Buy now for £19.50</p>").otherwise("<p>A review</p>"),
+    )
+    body = F.when(F.col("page_id") % 2 == 0, body).otherwise(F.replace(body, F.lit("Model No"), F.lit("Kind")))
+    found = products.extract_products(p.withColumn("html", body))
+    return found.select("page_id", "name", F.element_at("attributes", "Width").alias("width"), F.element_at("attributes", "Colour").alias("colour"), "model", F.col("offers")[0]["price"].alias("price"), "origin")
+
+
+@query("f46_table_attributes", "SELECT page_id, kind, key, CASE kind WHEN 'table' THEN page_id || ' mm' ELSE 'black & red' END AS value FROM pages, (VALUES ('table', 'Width'), ('list', 'Colour')) k(kind, key)")
+def f46_attributes(spark: SparkSession, d: str) -> DataFrame:
     p = views.table(spark, d, "pages").select("page_id", F.concat(F.lit("<table><tr><th>Width:</th><td>"), F.col("page_id").cast("string"), F.lit(" mm</td></tr></table><dl><dt>Colour</dt><dd>black &amp; red</dd></dl>")).alias("html"))
     return extraction.table_attributes(p)
 
