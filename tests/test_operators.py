@@ -147,3 +147,10 @@ def test_csv_round_trip(spark, tmp_path):
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "x"))
     assert sorted((int(r["id"]), r["t"]) for r in back.collect()) == rows
     assert df.select(tables.csv_field(F.col("t")).alias("f")).first()["f"] == '"say ""hi"", then"'
+
+
+def test_a_classifier_of_pages_is_a_slot(spark):
+    pages = spark.createDataFrame([(1, "http://x/product/1", "add to cart, price"), (2, "http://x/a", "news"), (3, "http://x/b", None)], "page_id int, url string, html string")
+    assert {r["page_id"]: (r["answer"], r["confidence"]) for r in discovery.product_pages(pages).collect()} == {1: ("yes", 0.8), 2: ("no", 0.2), 3: ("no", 0.2)}
+    model = lambda url, html: F.when(html.contains("news"), " YES ")
+    assert {r["page_id"]: (r["answer"], r["confidence"]) for r in discovery.product_pages(pages, model).collect()} == {1: (None, 0.5), 2: ("yes", 0.8), 3: (None, 0.5)}

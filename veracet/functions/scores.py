@@ -314,3 +314,28 @@ def run_after(state: Column, action: Column) -> Column:
         F.when(action == "stop", stop).when((action == "pause") & may(state, "pause"), RUN_ACTIONS["pause"])
         .when((action == "resume") & may(state, "resume"), RUN_ACTIONS["resume"]).otherwise(out)
     )
+
+
+def crawlability(home: Column, robots: Column, sitemap: Column, category_page: Column, product_page: Column) -> Column:
+    """Of 100, by what a probe has reached (booleans)."""
+    parts = ((home, 30.0), (robots, 20.0), (sitemap, 20.0), (category_page, 15.0), (product_page, 15.0))
+    return sum((F.when(has, points).otherwise(0.0) for has, points in parts), F.lit(0.0))
+
+
+def category_relevance(named: Column, hints: Column) -> Column:
+    """Of 100: named is how many of the asked categories the pages name, hints how many links hint at them."""
+    return F.least(F.lit(100.0), named * 15.0 + F.least(F.lit(55.0), hints * 12.0))
+
+
+def extractability(sampled: Column, extracted: Column, structured: Column, technical: Column, accepted: Column) -> Column:
+    """Of 100, by the evidence of a sample product page; accepted: a model's verdict on it (null: none), which takes 35 if it
+    rejects the page, and adds 10 if it accepts one with evidence of either kind."""
+    parts = ((sampled, 10.0), (extracted, 55.0), (structured, 20.0), (technical, 15.0))
+    score = sum((F.when(has, points).otherwise(0.0) for has, points in parts), F.lit(0.0))
+    evidence = F.coalesce(structured, F.lit(False)) | F.coalesce(technical, F.lit(False))
+    return F.when(~accepted, F.greatest(F.lit(0.0), score - 35)).when(accepted & evidence, F.least(F.lit(100.0), score + 10)).otherwise(score)
+
+
+def catalog_likelihood(catalog_links: Column, other_links: Column, product_page: Column) -> Column:
+    """0 to 100 around 50, by links to lists of products and to other things; a product page counts as three of the first."""
+    return clamp(50.0 + 6.0 * (catalog_links + F.when(product_page, 3).otherwise(0)) - 7.0 * other_links, 0.0, 100.0)

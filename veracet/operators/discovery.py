@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracet.functions import urls
-from veracet.sources.tables import settled
 from veracet.functions.text import name_key
+from veracet.sources.tables import settled
 
 _HREF = "(?is)<(?:a|link)\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"']*)[\"']"
 
@@ -31,6 +31,60 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "url", "position", "link", kind.alias("kind"))
 
 
+_TRAIL = "(?is)<(?:nav|ol|ul|div)\\b[^>]*\\b(?:class|aria-label)\\s*=\\s*[\"'][^\"']*breadcrumb.*?</(?:nav|ol|ul|div)>"
+
+
+def breadcrumb_links(pages: DataFrame) -> DataFrame:
+    """page_id, url, link: the distinct links of a page's breadcrumb trails, but for products."""
+    trails = F.array_join(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_TRAIL), F.lit(0)), " ")
+    found = links(pages.withColumn("html", trails))
+    return found.filter("kind <> 'product'").select("page_id", "url", "link")
+
+
+def related_links(pages: DataFrame, known: DataFrame, most_depth: int) -> DataFrame:
+    """What the pages of products add to the frontier: link, kind (product or listing), least depth and the page it was found on.
+
+    pages: page_id, url, html, depth; known: link, the addresses that the frontier has.  A page's product links, its
+    categories and its breadcrumbs are one deeper than it; those beyond ``most_depth`` are left out.
+    """
+    found = links(pages).filter("kind in ('product', 'category')").select("page_id", "link", F.when(F.col("kind") == "product", "product").otherwise("listing").alias("kind"))
+    found = found.unionByName(breadcrumb_links(pages).select("page_id", "link", F.lit("listing").alias("kind")))
+    deeper = pages.select("page_id", (F.col("depth") + 1).alias("depth")).filter(F.col("depth") <= most_depth)
+    best = F.min(F.struct("depth", "page_id")).alias("b")
+    out = found.join(deeper, "page_id").groupBy("link").agg(best, F.max("kind").alias("kind"))  # a product by either is one
+    return out.join(known.select("link"), "link", "left_anti").select("link", "kind", F.col("b.depth").alias("depth"), F.col("b.page_id").alias("found_on"))
+
+
+def structured_evidence(html: F.Column | str, products: F.Column | None = None) -> F.Column:
+    """Whether a page describes a product to machines; products: how many were extracted from it, if that is known."""
+    h = F.lower(F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit("")))
+    said = h.contains("application/ld+json") & h.contains("product") | h.rlike("[\"']@type[\"']\\s*:\\s*[\"']product[\"']") | h.contains("schema.org/product")
+    return said if products is None else said | F.coalesce(products > 0, F.lit(False))
+
+
+def technical_evidence(html: F.Column | str) -> F.Column:
+    """Whether a page lists technical properties: a heading for them, a table, or two words for such properties."""
+    h = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
+    # The words that count.
+    heading = h.rlike("(?i)specifications|technical details|key features|product details")
+    words = F.size(F.regexp_extract_all(h, F.lit("(?i)(screen size|resolution|hdmi|refresh rate|panel type|processor|memory|storage|weight|dimensions|bluetooth|wifi)"), F.lit(1)))
+    return heading | h.rlike("(?i)<(table|dl|th|td)\\b") | (words >= 2)
+
+
+def product_pages(pages: DataFrame, classify=None) -> DataFrame:
+    """page_id, answer and confidence of a classifier of pages; classify: a function of (url, html) columns that returns the answer
+    yes, no or null (it can't tell), such as a pandas UDF around a model.  Without one the score by rules answers.
+
+    A model's answer has confidence 0.8 if yes and 0.2 if no; no answer is neutral, 0.5.
+    """
+    if classify is None:
+        answer = F.when(product_score("url", "html") >= 0.60, "yes").otherwise("no")
+    else:
+        answer = F.lower(F.trim(classify(F.col("url"), F.col("html"))))
+    confidence = F.when(F.col("answer") == "yes", 0.8).when(F.col("answer") == "no", 0.2).otherwise(0.5)
+    return pages.select("page_id", answer.alias("answer")).withColumn("confidence", confidence)
+
+
 def product_score(url: F.Column | str, html: F.Column | str) -> F.Column:
     """How much a page looks like a product's: address, metadata, commerce words and prices."""
     h = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))

@@ -234,15 +234,64 @@ def t13(spark: SparkSession, d: str) -> DataFrame:
     return views.logs(spark, d).select("log_id", (F.col("ts") < cutoff).alias("archived"))
 
 
+def _product_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of the table with a trail, a related product and an advert put in; some trails lead to a product."""
+    p = views.table(spark, d, "pages").select("page_id", (F.col("page_id") % 3).cast("int").alias("depth"), F.concat(F.lit("https://shop.example/product/"), F.col("page_id").cast("string")).alias("url"))
+    body = F.format_string(
+        '<nav class="top breadcrumb"><a href="/c/%2$d">c</a><a href="/">home</a><a href="/product/%2$d">p</a></nav><p><a href="/product/%3$d">next</a><a href="/about">about</a></p>',
+        F.col("page_id"), F.col("page_id") % 5, F.col("page_id") + 1,
+    )
+    return p.withColumn("html", body)
+
+
 @query(
     "t16_related_links",
-    "SELECT source_name, string_agg(DISTINCT url, ',' ORDER BY url) AS links FROM (SELECT source_name, url FROM v_logs WHERE url IN ('/purchase', '/view') UNION ALL SELECT source_name, url FROM v_logs WHERE status = 'failed') GROUP BY source_name",
-    "v_logs",
+    "SELECT link, kind, min(depth) AS depth, arg_min(page_id, (depth, page_id)) AS found_on FROM (SELECT page_id, page_id % 3 + 1 AS depth, unnest([{'link': 'https://shop.example/c/' || (page_id % 5), 'kind': 'listing'}, {'link': 'https://shop.example/', 'kind': 'listing'},"
+    " {'link': 'https://shop.example/product/' || (page_id % 5), 'kind': 'product'}, {'link': 'https://shop.example/product/' || (page_id + 1), 'kind': 'product'}], recursive := true) FROM pages WHERE page_id % 3 < 2)"
+    " WHERE link <> 'https://shop.example/product/' || page_id AND link NOT IN (SELECT 'https://shop.example/product/' || page_id FROM pages WHERE page_id % 2 = 0) GROUP BY link, kind",
 )
 def t16(spark: SparkSession, d: str) -> DataFrame:
-    logs = views.logs(spark, d)
-    both = logs.filter(F.col("url").isin("/purchase", "/view")).select("source_name", "url").unionByName(logs.filter("status = 'failed'").select("source_name", "url"))
-    return both.groupBy("source_name").agg(F.array_join(F.array_sort(F.collect_set("url")), ",").alias("links"))
+    p = _product_pages(spark, d)
+    return discovery.related_links(p, p.filter("page_id % 2 = 0").select(F.col("url").alias("link")), 2)
+
+
+@query(
+    "f52_breadcrumb_links",
+    "SELECT page_id, unnest(['https://shop.example/c/' || (page_id % 5), 'https://shop.example/']) AS link FROM pages",
+)
+def f52(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.breadcrumb_links(_product_pages(spark, d)).select("page_id", "link")
+
+
+@query(
+    "f55_page_evidence",
+    "SELECT page_id, regexp_matches(html, '(specifications|technical details|key features|product details)', 'i') OR regexp_matches(html, '<(table|dl|th|td)\\b', 'i') OR len(regexp_extract_all(html, 'weight|memory|storage|processor|resolution', 0, 'i')) >= 2 AS technical,"
+    " page_id % 4 = 0 AS structured FROM (SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN '<dl>' WHEN 1 THEN 'Weight and MEMORY' ELSE 'a weight' END AS html FROM pages)",
+)
+def f55(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_id") % 3
+    p = views.table(spark, d, "pages").withColumn("html", F.concat("html", F.when(n == 0, "<dl>").when(n == 1, "Weight and MEMORY").otherwise("a weight")))
+    marked = F.when(F.col("page_id") % 4 == 0, "{'@type': 'Product'}").otherwise("{'@type': 'Story'}")
+    return p.select("page_id", discovery.technical_evidence("html").alias("technical"), discovery.structured_evidence(F.concat("html", marked)).alias("structured"))
+
+
+@query(
+    "m22_probe_scores",
+    "SELECT user_id, 30.0 + CASE WHEN c > 0 THEN 20 ELSE 0 END + CASE WHEN e > 0 THEN 20 ELSE 0 END + CASE WHEN p > 0 THEN 15 ELSE 0 END + CASE WHEN s > 0 THEN 15 ELSE 0 END AS crawlability, least(100.0, 15.0 * (user_id % 4) + least(55.0, 12.0 * p)) AS relevance,"
+    " CASE WHEN user_id % 3 = 0 THEN greatest(0.0, x - 35) WHEN user_id % 3 = 1 AND (e > 0 OR s > 0) THEN least(100.0, x + 10) ELSE x END AS extractability, least(100.0, greatest(0.0, 50.0 + 6.0 * (c + CASE WHEN p > 0 THEN 3 ELSE 0 END) - 7.0 * e)) AS likelihood"
+    " FROM (SELECT *, CASE WHEN c > 0 THEN 10.0 ELSE 0 END + CASE WHEN p > 0 THEN 55 ELSE 0 END + CASE WHEN e > 0 THEN 20 ELSE 0 END + CASE WHEN s > 0 THEN 15 ELSE 0 END AS x FROM"
+    " (SELECT user_id, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'signup') AS s FROM events GROUP BY user_id))",
+)
+def m22(spark: SparkSession, d: str) -> DataFrame:
+    """Users as probed sources: what they have of each kind of event stands for what a probe has found."""
+    g = views.table(spark, d, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in ("click", "error", "purchase", "signup")])
+    click, error, purchase, signup = (F.col(k) for k in ("click", "error", "purchase", "signup"))
+    n = F.col("user_id") % 3
+    return g.select(
+        "user_id", scores.crawlability(F.lit(True), click > 0, error > 0, purchase > 0, signup > 0).alias("crawlability"), scores.category_relevance(F.col("user_id") % 4, purchase).alias("relevance"),
+        scores.extractability(click > 0, purchase > 0, error > 0, signup > 0, F.when(n == 0, False).when(n == 1, True)).alias("extractability"),
+        scores.catalog_likelihood(click, error, purchase > 0).alias("likelihood"),
+    )
 
 
 @query(
