@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes each to the shared folder and reads it
 again.  All but the last keep the columns of documents.
+
+Defined results: a null or empty text has no language, and goes in the first stage; null languages and sources are one
+each; a null doc_id is a document like any other, smaller than all; of repeated rows one stays; ties go to the smallest doc_id; a
+very long text is taken whole, and cut to pieces only by the last stage; an empty table gives empty tables at every stage; columns
+beyond those of documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
