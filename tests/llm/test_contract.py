@@ -269,8 +269,11 @@ def test_page_copies_are_not_templates(spark):
     assert {r["text"] for r in got} == {"The same story.\nTold again."}
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 2])
-def test_substring_dedup(docs, empty, bucket_rows):
+@pytest.mark.parametrize(("bucket_rows", "large"), [(50_000, 1000), (50_000, 0), (2, 1000)])
+def test_substring_dedup(docs, empty, monkeypatch, bucket_rows, large):
+    from veracet.llm.substring_dedup import _counted
+
+    monkeypatch.setattr(substring_dedup, "_counted", lambda *args: _with_large(large, _counted(*args)))
     rows = docs.collect()
     every = collections.Counter()
     for r in rows:
@@ -291,6 +294,19 @@ def test_substring_dedup(docs, empty, bucket_rows):
     assert substring_dedup.without_repeats(empty).collect() == []
 
 
+def _with_large(large, run):
+    """run, in a worker, with another limit for large buckets."""
+
+    def limited(batches):
+        before, substring_dedup.LARGE = substring_dedup.LARGE, large
+        try:
+            yield from run(batches)
+        finally:
+            substring_dedup.LARGE = before
+
+    return limited
+
+
 def check_packing(rows, capacity):
     for _, group in collections.Counter(r["sequence_id"] for r in rows).items():
         assert group

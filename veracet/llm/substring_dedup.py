@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veracet.llm.store import join_small, written
-from veracet.llm.words import Words, as_binary, binaries, row_of, slices, split_words, spread
+from veracet.llm.words import Words, as_binary, binaries, released, row_of, slices, split_words, spread
 
 WINDOW = 35
 MINIMISER = 5
 BUCKET_ROWS = 50_000
+#: Strings of a bucket beyond which its windows aren't all held at once.
+LARGE = 1_000
 _PACKED = "key long, packed binary, inner boolean, a long, b long, first int"
 _FOUND = "a long, b long, first int, n int, window binary"
 
@@ -111,6 +113,21 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
     return [packed[begin[i] : begin[i + window] - 1] for i in range(len(begin) - window)]
 
 
+def _often(held: dict[bytes, list], window: int) -> dict[bytes, int]:
+    """How often each window occurs in a bucket's strings; of a large bucket only those that may occur twice, by their
+    hashes, as most windows of a bucket are its strings' different ends."""
+    many = None
+    if len(held) > LARGE:
+        value, n = np.unique(np.fromiter((hash(text) for packed in held for text in _windows(packed, window)), np.int64), return_counts=True)
+        many = set(value[n > 1].tolist())
+    count: dict[bytes, int] = {}
+    for packed, rows in held.items():
+        for text in _windows(packed, window):
+            if many is None or len(rows) > 1 or hash(text) in many:
+                count[text] = count.get(text, 0) + len(rows)
+    return count
+
+
 def _counted(window: int, bucket_rows: int):
     """Rows come sorted by (key, packed); yields ranges of repeated windows, or single windows of too large buckets."""
 
@@ -135,19 +152,19 @@ def _counted(window: int, bucket_rows: int):
                     n = packed.count(b" ") + 2 - window
                     out.extend((a, b, first, n, None) for a, b, first in rows)
                 else:
-                    cut = {packed: _windows(packed, window) for packed in held}
-                    count: dict[bytes, int] = {}
-                    for packed, rows in held.items():
-                        for text in cut[packed]:
-                            count[text] = count.get(text, 0) + len(rows)
+                    count = _often(held, window)
                     for packed, rows in held.items():
                         begin = None
-                        for i, text in enumerate([*cut[packed], None]):
-                            if text is not None and count[text] > 1:
+                        for i, text in enumerate([*_windows(packed, window), None]):
+                            if text is not None and count.get(text, 0) > 1:
                                 begin = i if begin is None else begin
                             elif begin is not None:
                                 out.extend((a, b, first + begin, i - begin, None) for a, b, first in rows)
                                 begin = None
+                    if len(held) > LARGE:
+                        del count
+                        held.clear()
+                        released()
             held.clear()
             n_held, held_inner, flood = 0, False, False
 
