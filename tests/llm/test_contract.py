@@ -79,6 +79,21 @@ def test_chunked_ids_are_the_librarys(name):
     assert got.tolist() == [i for w in want for i in w]
 
 
+def test_chunks_with_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    from veracet.llm import tokens
+
+    real = tokens.range_hash
+    monkeypatch.setattr(tokens, "range_hash", lambda *args: real(*args) % np.uint64(50))
+    tokenizer = ChunkTokenizer(tokenizer_path("word_bpe_49k.json"))
+    for texts in (["one", "two"], ["the quick brown fox jumps over the lazy dog and many other words " * 3], ["three four", "", "one two five"]):
+        got, count = tokenizer.encode(as_binary(pa.array(texts)))
+        want = [ids_of("word_bpe_49k.json", t, 0)[:-1] for t in texts]
+        assert count.tolist() == list(map(len, want))
+        assert got.tolist() == [i for w in want for i in w]
+
+
 def test_token_archive(spark, docs, empty, tmp_path):
     path = str(tmp_path / "archive")
     token_archive.write_archive(docs, path, block_tokens=2000)

@@ -28,7 +28,7 @@ from veracet.llm.words import IS_SPACE, LOWER, joined, prefix_hash, range_hash,
 #: Folder of the vocabulary files; VERACET_TOKENIZERS or an argument names another.
 FOLDER = os.environ.get("VERACET_TOKENIZERS", "/opt/tokenizers")
 #: A worker's table of chunks starts anew beyond this many chunks.
-MOST_CHUNKS = 1_500_000
+MOST_CHUNKS = 1_000_000
 
 # Bytes after which a byte-level file is not cut: white space, information separators, and the first bytes of
 # U+0085, U+00A0, U+1680, U+2000-U+205F and U+3000.
@@ -95,6 +95,9 @@ class ChunkTokenizer:
         self.at = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.raw_at = np.zeros(0, np.int64)
+        self.raw_length = np.zeros(0, np.int64)
+        self.raw = np.zeros(0, np.uint8)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.key) + len(keys) > MOST_CHUNKS:
@@ -118,6 +121,22 @@ class ChunkTokenizer:
         self.key = key[order]
         self.at = np.concatenate((self.at, at))[order]
         self.length = np.concatenate((self.length, length))[order]
+        raw = [t.encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.raw_at = np.concatenate((self.raw_at, len(self.raw) + np.cumsum(size) - size))[order]
+        self.raw_length = np.concatenate((self.raw_length, size))[order]
+        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(raw), np.uint8)))
+
+    def _same(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> bool:
+        """Whether the chunks of data are those that the table has at these places, byte by byte."""
+        if not np.array_equal(length, self.raw_length[place]):
+            return False
+        return np.array_equal(data[spread(start, length)], self.raw[spread(self.raw_at[place], length)])
+
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, text by text without the table."""
+        ids = [self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in column.to_pylist()]
+        return np.array([i for row in ids for i in row], np.uint32), np.array([len(row) for row in ids], np.int64)
 
     def _chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Data, each chunk's place in it, and of each row the first chunk."""
@@ -175,6 +194,10 @@ class ChunkTokenizer:
             self._learn(unique[new], [raw[i:j].decode() for i, j in zip(s, e, strict=True)])
             place = np.searchsorted(self.key, unique)
             break
+        first_of = where[inverse]
+        alike = np.array_equal((end - start)[first_of], end - start) and np.array_equal(data[spread(start[first_of], end - start)], data[spread(start, end - start)])
+        if not alike or not self._same(data, start[where], (end - start)[where], place):
+            return self._plain(column)  # two chunks with one hash
         place = place[inverse]
         length = self.length[place]
         ids = self.flat[spread(self.at[place], length)]
